@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, host_reputation, pseudonyms, quality_rules
+from strandline.llm import bpe, decontamination, host_reputation, pseudonyms, quality_rules, shared, sharding, token_shards
 
 #: Key of the registered pseudonym query. A real run takes its own secret.
 PSEUDONYM_KEY = "strandline-demonstration-key"
@@ -23,6 +23,11 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise_counted(docs, PSEUDONYM_KEY)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.report(docs, read(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = quality_rules.measures(read(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
     own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -34,6 +39,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(read(spark, sf_dir, "documents"), ["doc_id"], path, public_tokenizers.PATTERN)
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    shards = token_shards.write_shards(read(spark, sf_dir, "documents"), shared.folder(spark, "token-shards"), path, end=2)
+    return token_shards.read_shards(spark, shards)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(sharding.sharded(read(spark, sf_dir, "documents").select("doc_id", "text"), 16))
+
+
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages take the label of the document of their number."""
     labels = read(spark, sf_dir, "labels")
@@ -43,6 +58,6 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pseudonyms, op5_quality_rules, op6_bpe, op9_host_reputation)
+    for f in (op1_pseudonyms, op2_decontamination, op5_quality_rules, op6_bpe, op7_token_shards, op8_sharding, op9_host_reputation)
 }
 ORACLE_SQL: dict[str, str] = {"op9_host_reputation": host_reputation.ORACLE_SQL}
