@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chunk_dedup, decontamination, host_reputation, jaccard_join, pseudonyms, quality_rules, shared, sharding, token_shards
+from strandline.llm import bpe, chunk_dedup, decontamination, host_reputation, jaccard_join, pseudonyms, quality_rules, shared, sharding, suffix_dedup, token_shards
 
 #: Key of the registered pseudonym query. A real run takes its own secret.
 PSEUDONYM_KEY = "strandline-demonstration-key"
@@ -32,6 +32,10 @@ def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.deduplicated(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = quality_rules.measures(read(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
     own = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -67,7 +71,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pseudonyms, op2_decontamination, op3_chunk_dedup, op5_quality_rules, op6_bpe,
+        op1_pseudonyms, op2_decontamination, op3_chunk_dedup, op4_suffix_dedup, op5_quality_rules, op6_bpe,
         op7_token_shards, op8_sharding, op9_host_reputation, op10_jaccard_join,
     )
 }
