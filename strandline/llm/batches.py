@@ -22,12 +22,13 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, make: Callable[[], Ca
     """
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` {s}" for n, _, s in fields])
+    taken = [*keys] if text in keys else [*keys, text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            rows = [f(data) for data in encoded(batch.column(len(keys)))]
+            rows = [f(data) for data in encoded(batch.column(taken.index(text)))]
             made = [pa.array(col, type=t) for col, (_, t, _) in zip(zip(*rows) if rows else [()] * len(fields), fields)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keys))] + made, names=[*keys, *(n for n, _, _ in fields)])
 
-    return docs.select(*keys, text).mapInArrow(run, schema)
+    return docs.select(*taken).mapInArrow(run, schema)
