@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.shared import stored
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -82,42 +84,49 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...], field: st
     return out
 
 
-def _strength(level: DataFrame) -> DataFrame:
-    """One row: prior strength of a level from (k, n) of its groups."""
-    total = level.agg(
+def _strengths(levels: list[DataFrame]) -> list[tuple[float, float]]:
+    """(prior strength, rate) of each level from (k, n) of its groups.
+
+    The levels' moments are a few sums; they come to the driver as one row
+    for each level. Without labels the rate is 0.
+    """
+    rows = [level.select(F.lit(i).alias("level"), "k", "n") for i, level in enumerate(levels)]
+    total = rows[0].union(rows[1]).union(rows[2]).groupBy("level").agg(
         F.sum("k").cast("double").alias("k"), F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("n")).cast("double").alias("nn"),
         F.count(F.lit(1)).cast("double").alias("g"), F.sum(F.col("k").cast("double") * F.col("k") / F.col("n")).alias("kk"),
     )
-    p = F.col("k") / F.col("n")
-    noise = p * (1 - p)
-    between = (F.col("kk") - F.col("k") * p - (F.col("g") - 1) * noise) / (F.col("n") - F.col("nn") / F.col("n"))
-    fitted = F.when((F.col("g") > 1) & (between > 0), noise / between - 1).otherwise(1e4)
-    return total.select(F.lit(1).alias("_one"), F.least(F.greatest(fitted, F.lit(1.0)), F.lit(1e4)).alias("strength"), p.alias("rate"))
+    out = [(1e4, 0.0)] * len(levels)
+    for r in total.collect():
+        p, spread = r.k / r.n, r.n - r.nn / r.n
+        noise = p * (1 - p)
+        between = (r.kk - r.k * p - (r.g - 1) * noise) / spread if spread else 0.0
+        out[r.level] = (min(max(noise / between - 1 if r.g > 1 and between > 0 else 1e4, 1.0), 1e4), p)
+    return out
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """Posterior (a, b) of hosts, domains, suffixes and all, from (host, bad).
 
     ``bad``: 0 or 1, null where a page has no label. Counting by host before
     anything else keeps a host with most of the pages to one row for a task.
     """
     hosts = outcomes.groupBy("host").agg(F.sum("bad").alias("k"), F.count("bad").alias("n")).filter("n > 0")
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
+    hosts = stored(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain"))), "host-counts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    top = _strength(suffixes)
-    everything = top.select("_one", (F.col("rate") * F.col("strength")).alias("a"), ((1 - F.col("rate")) * F.col("strength")).alias("b"))
+    (s0, rate), (s1, _), (s2, _) = _strengths([suffixes, domains, hosts])
+
+    def shrunk(level: DataFrame, key: str, mean: Column, strength: float) -> DataFrame:
+        return level.select(key, (mean * strength + F.col("k")).alias("a"), ((1 - mean) * strength + F.col("n") - F.col("k")).alias("b"))
 
-    def shrunk(level: DataFrame, keys: list[str], parent: DataFrame, on: str) -> DataFrame:
-        mean = F.col("pa") / (F.col("pa") + F.col("pb"))
-        up = parent.select(on, F.col("a").alias("pa"), F.col("b").alias("pb"))
-        rows = level.withColumn("_one", F.lit(1)).join(up, on).join(_strength(level).select("_one", "strength"), "_one")
-        return rows.select(*keys, (mean * F.col("strength") + F.col("k")).alias("a"), ((1 - mean) * F.col("strength") + F.col("n") - F.col("k")).alias("b"))
+    def under(level: DataFrame, key: str, parent: DataFrame, on: str, strength: float) -> DataFrame:
+        rows = level.join(parent.select(on, (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")), on)
+        return shrunk(rows, key, F.col("mean"), strength)
 
-    of_suffix = shrunk(suffixes.withColumn("_one", F.lit(1)), ["suffix"], everything, "_one")
-    of_domain = shrunk(domains, ["domain"], of_suffix, "suffix")
-    of_host = shrunk(hosts, ["host"], of_domain, "domain")
-    return of_host, of_domain, of_suffix, everything
+    everything = rate * s0, (1 - rate) * s0
+    of_suffix = shrunk(suffixes, "suffix", F.lit(everything[0] / (everything[0] + everything[1])), s0)
+    of_domain = under(domains, "domain", of_suffix, "suffix", s1)
+    return under(hosts, "host", of_domain, "domain", s2), of_domain, of_suffix, everything
 
 
 def lower_bound(a: Column, b: Column, z: float) -> Column:
@@ -137,11 +146,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     labelled = cut.select(page_id, "host").join(labels.filter(F.col("bad").isNotNull()), page_id)
     of_host, of_domain, of_suffix, everything = reputations(labelled.select("host", "bad"))
     # verdicts by host before they meet the pages: a row for each host
-    hosts = cut.select("host").distinct().withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain"))).withColumn("_one", F.lit(1))
+    hosts = cut.select("host").distinct().withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
     bounded = lambda t, key, name: t.select(key, lower_bound(F.col("a"), F.col("b"), z).alias(name))
-    hosts = hosts.join(bounded(of_host, "host", "b0"), "host", "left").join(bounded(of_domain, "domain", "b1"), "domain", "left")
-    hosts = hosts.join(bounded(of_suffix, "suffix", "b2"), "suffix", "left").join(bounded(everything, "_one", "b3"), "_one", "left")
-    blocked = hosts.filter(F.coalesce("b0", "b1", "b2", "b3") > limit).select("host", F.lit("block").alias("_reputation"))
+    hosts = hosts.join(bounded(of_host, "host", "b0"), "host", "left").join(bounded(of_domain, "domain", "b1"), "domain", "left").join(bounded(of_suffix, "suffix", "b2"), "suffix", "left")
+    last = lower_bound(F.lit(everything[0]), F.lit(everything[1]), z)
+    blocked = hosts.filter(F.coalesce("b0", "b1", "b2", last) > limit).select("host", F.lit("block").alias("_reputation"))
     judged = cut.join(blocked, "host", "left")
     return judged.select(
         page_id, "host", "path", matching_rule(F.col("host"), F.col("path"), rules, "name").alias("rule"),

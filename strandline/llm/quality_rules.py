@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.llm.batches import map_texts
+from strandline.llm.shared import stored
 from strandline.llm.textkit import covered, window_hashes, word_hashes
 
 #: Symbols that prose seldom holds.
@@ -39,6 +40,10 @@ RATES = {
 #: a group hardly varies (all its quartiles 0), a single symbol is no outlier.
 LEAST = {"word_length": 300, "symbols": 100, "dup_lines": 300, "repeats": 200, "exclaims": 200}
 
+#: Groups whose thresholds are sent to all tasks (some 130 bytes each); with
+#: more of them the join is Spark's to plan.
+MOST_BROADCAST = 50_000
+
 
 def _measure():
     def of(data: bytes) -> tuple:
@@ -134,15 +139,17 @@ def judge(counts: DataFrame, lang: str = "lang", source: str = "source", width:
     """
     groups = F.coalesce(F.col(lang), F.lit("\0")).alias("_lang"), F.coalesce(F.col(source), F.lit("\0")).alias("_source")
     rows = counts.select("*", *groups).withColumn("base_failed", base_failed())
-    fine = sketches(rows.filter(~F.col("base_failed")), ["_lang", "_source"])
+    fine = stored(sketches(rows.filter(~F.col("base_failed")), ["_lang", "_source"]), "quality-sketches")
     middle = merged(fine, ["_lang"])
-    whole = merged(middle.withColumn("_all", F.lit(1)), ["_all"])
     sides = [f"{r}_{s}" for r in RATES for s in ("low", "high")]
+    # the whole corpus has one row of thresholds
+    whole = fences(merged(middle.withColumn("_all", F.lit(1)), ["_all"]), ["_all"], width).first()
     named = lambda t, i: t.select(*[c for c in t.columns if c[0] == "_"], F.col("rows").alias(f"rows{i}"), *[F.col(c).alias(f"{c}{i}") for c in sides])
-    levels = named(fences(fine, ["_lang", "_source"], width), 0).join(named(fences(middle, ["_lang"], width), 1), "_lang").withColumn("_all", F.lit(1))
-    levels = levels.join(named(fences(whole, ["_all"], width), 2), "_all")
-    pick = lambda c: F.when(F.col("rows0") >= min_rows, F.col(f"{c}0")).when(F.col("rows1") >= min_rows, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(c)
-    limits = levels.select("_lang", "_source", *[pick(c) for c in sides])
+    levels = named(fences(fine, ["_lang", "_source"], width), 0).join(named(fences(middle, ["_lang"], width), 1), "_lang")
+    pick = lambda c: F.when(F.col("rows0") >= min_rows, F.col(f"{c}0")).when(F.col("rows1") >= min_rows, F.col(f"{c}1")).otherwise(F.lit(whole[c] if whole else None)).alias(c)
+    limits = stored(levels.select("_lang", "_source", *[pick(c) for c in sides]), "quality-limits")
+    if limits.count() <= MOST_BROADCAST:
+        limits = F.broadcast(limits)
     inside = F.lit(True)
     for rate, (a, b, scale) in RATES.items():
         value = F.floor(F.lit(scale) * F.col(a) / F.col(b))
