@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from strandline.plans import relational
+
 FLAGSHIP = "allele_betaln_by_arm"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES = {**relational.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL}
