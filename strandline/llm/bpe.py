@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterable
 from heapq import heappop, heappush
 
@@ -26,14 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from strandline.llm.batches import map_texts
+from strandline.llm.segments import LIMIT, SegmentTable
 
 #: Bits of a bitmap word.
 _WIDTH = 256
-#: Segments that a worker keeps with their ids, in each of two generations:
-#: when the younger is full it becomes the older, and what is used again moves.
-CACHE = 350_000
-#: Matches longer than this are not worth keeping.
-_KEEP = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +75,7 @@ class RankQueue:
 class Encoder:
     """Encodes and decodes by a table of ranks that holds every single byte."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = LIMIT) -> None:
         self.ranks = ranks
         self.top = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * self.top
@@ -86,10 +83,8 @@ class Encoder:
             self.tokens[rank] = token
         self.split = regex.compile(pattern)
         self.queue = RankQueue(self.top)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.limit = cache
-        self._loose = regex.compile(r"\s |  ")
+        self.matches: dict[str, bytes] = {}
+        self.table = SegmentTable(self._segments, cache)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
@@ -132,44 +127,24 @@ class Encoder:
             i = end[i]
         return out
 
-    def _keep(self, text: str, ids: bytes) -> None:
-        if len(text) <= _KEEP:
-            if len(self.cache) >= self.limit:
-                self.older, self.cache = self.cache, {}
-            self.cache[text] = ids
-
     def _match(self, text: str) -> bytes:
-        if (known := self.cache.get(text)) is None:
-            if (known := self.older.get(text)) is None:
-                known = np.array(self.merge(text.encode()), dtype="<u4").tobytes()
-            self._keep(text, known)
+        if (known := self.matches.get(text)) is None:
+            known = array("I", self.merge(text.encode())).tobytes()
+            if len(text) <= 8:
+                # short matches recur among new words; longer ones as words
+                if len(self.matches) >= 50_000:
+                    self.matches.clear()
+                self.matches[text] = known
         return known
 
-    def _segment(self, text: str) -> bytes:
-        if (known := self.older.get(text)) is None:
-            known = b"".join(map(self._match, self.split.findall(text)))
-        self._keep(text, known)
-        return known
+    def _segments(self, texts: list[str]) -> list[bytes]:
+        split, match = self.split.findall, self._match
+        return [b"".join(map(match, split(text))) for text in texts]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        A space between two characters that are no white space always starts
-        a match of the pattern, so texts without other runs of white space
-        around spaces are looked up by such segments first.
-        """
-        if self._loose.search(text):
-            return b"".join(map(self._match, self.split.findall(text)))
-        parts = []
-        first, *rest = text.split(" ")
-        if ended := bool(rest) and not rest[-1]:
-            rest.pop()
-        for word in [first, *(" " + w for w in rest)]:
-            known = self.cache.get(word)
-            parts.append(self._segment(word) if known is None else known)
-        if ended:
-            parts.append(self._match(" "))
-        return b"".join(parts)
+        """Ids as unsigned 32-bit integers (little-endian, as all platforms of
+        Spark are)."""
+        return self.table.encode([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

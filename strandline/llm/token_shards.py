@@ -28,6 +28,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.batches import encoded
+from strandline.llm.segments import LIMIT, SegmentTable
 from strandline.llm.textkit import mix64
 
 MAGIC = b"STRNDTK1"
 SHARD_BYTES = 64 << 20
 #: Texts are encoded in groups of about so many characters.
 GROUP = 1 << 20
-#: Segments kept with their ids, in each of two generations.
-CACHE = 400_000
 _HEADER = struct.Struct("<8s5Q")
 
 
@@ -176,53 +176,24 @@ class Shard:
 
 
 class TextEncoder:
-    """A tokenizer of the tokenizers library behind a table of segments.
+    """A tokenizer of the tokenizers library behind a table of words."""
 
-    The split of a byte-level tokenizer always begins anew at a space between
-    two characters that are no white space; texts without other white space
-    around spaces are encoded by such segments, each new one by the library,
-    the rest of the texts whole.
-    """
-
-    def __init__(self, path: str, cache: int = CACHE) -> None:
-        import regex
+    def __init__(self, path: str, cache: int = LIMIT) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 0x10000 else np.dtype("<u4")
-        self.young: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.limit, self.loose = cache, regex.compile(r"\s |  ")
+        small = self.tokenizer.get_vocab_size() <= 0x10000
+        self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
+        self.table = SegmentTable(self._library, cache)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers."""
-        cut = []
-        if len(self.young) >= self.limit:
-            self.older, self.young = self.young, {}
-        young, older, new = self.young, self.older, {}
-        for text in texts:
-            if self.loose.search(text):
-                cut.append([text])
-                new[text] = None
-                continue
-            first, *rest = text.split(" ")
-            words = [first, *(" " + w for w in rest)]
-            for w in words:
-                if w not in young:
-                    if (known := older.get(w)) is not None:
-                        young[w] = known
-                    else:
-                        new[w] = None
-            cut.append(words)
-        if new:
-            new = dict(zip(new, self._library(list(new))))
-            young.update((w, ids) for w, ids in new.items() if len(w) <= 64)
-        return [b"".join([young[w] if w in young else new[w] for w in words]) for words in cut]
+        return self.table.encode(texts)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
