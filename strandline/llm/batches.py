@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Bytes of text whose rows go out as one Arrow batch.
+_BATCH = 8 << 20
+
 
 def encoded(text: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
@@ -14,11 +17,24 @@ def encoded(text: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def map_texts(docs: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[bytes], tuple]], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+def _groups(texts: Iterator[bytes], size: int) -> Iterator[list[bytes]]:
+    some, total = [], 0
+    for data in texts:
+        some.append(data)
+        total += len(data)
+        if total >= size:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
+
+
+def map_texts(docs: DataFrame, keys: list[str], text: str, make: Callable[[], Callable[[bytes], tuple]], fields: list[tuple[str, pa.DataType, str]], group: int | None = None) -> DataFrame:
     """One output row per input row: its keys, then what ``make()`` computes.
 
     ``make`` is called once in each task and returns the function of one
-    text. ``fields``: (name, Arrow type, Spark type).
+    text, or with ``group`` of a list of texts of about so many bytes, which
+    gives a list of rows. ``fields``: (name, Arrow type, Spark type).
     """
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` {s}" for n, _, s in fields])
@@ -27,8 +43,12 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, make: Callable[[], Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            rows = [f(data) for data in encoded(batch.column(taken.index(text)))]
-            made = [pa.array(col, type=t) for col, (_, t, _) in zip(zip(*rows) if rows else [()] * len(fields), fields)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keys))] + made, names=[*keys, *(n for n, _, _ in fields)])
+            at = 0
+            for some in _groups(encoded(batch.column(taken.index(text))), group or _BATCH):
+                rows = [f(data) for data in some] if group is None else f(some)
+                made = [pa.array(col, type=t) for col, (_, t, _) in zip(zip(*rows), fields)]
+                part = batch.slice(at, len(some))
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keys))] + made, names=[*keys, *(n for n, _, _ in fields)])
 
     return docs.select(*taken).mapInArrow(run, schema)

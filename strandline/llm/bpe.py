@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -30,7 +30,11 @@ from strandline.llm.batches import map_texts
 from strandline.llm.segments import LIMIT, SegmentTable
 
 #: Bits of a bitmap word.
-_WIDTH = 256
+_SHIFT = 8
+_WIDTH, _MASK = 1 << _SHIFT, (1 << _SHIFT) - 1
+_BITS = [1 << k for k in range(_WIDTH)]
+#: Bytes of text encoded together.
+GROUP = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,36 +44,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Places by rank; pops the lowest rank, of one rank the lowest place."""
+    """Storage of the queue: a bucket of places for each rank, and the bitmap
+    words over them. The root, one bit for each word, is a local of the loop
+    that uses the queue, which leaves it empty."""
 
     def __init__(self, ranks: int) -> None:
         self.buckets: list[list[int]] = [[] for _ in range(ranks)]
         self.words = [0] * (ranks // _WIDTH + 1)
-        self.root = 0
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            word, bit = divmod(rank, _WIDTH)
-            if not self.words[word]:
-                self.root |= 1 << word
-            self.words[word] |= 1 << bit
-        heappush(bucket, place)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not (root := self.root):
-            return None
-        word = (root & -root).bit_length() - 1
-        bits = self.words[word]
-        low = bits & -bits
-        rank = word * _WIDTH + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.words[word] = bits ^ low
-            if bits == low:
-                self.root = root & (root - 1)
-        return rank, place
 
 
 class Encoder:
@@ -84,7 +65,7 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.queue = RankQueue(self.top)
         self.matches: dict[str, bytes] = {}
-        self.table = SegmentTable(self._segments, cache)
+        self.table = SegmentTable(self._segments, lambda words: self._segments([" " + w for w in words]), cache)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
@@ -95,32 +76,52 @@ class Encoder:
         end = list(range(1, n + 1))  # of the token that starts at a place
         before = list(range(-1, n - 1))  # start of the token before it
         pair = [-1] * n  # rank of the pair that starts at a place
-        queue = self.queue
-        push, pop, get = queue.push, queue.pop, ranks.get
-        for i in range(n - 1):
-            if (rank := get(piece[i : i + 2])) is not None:
+        get, buckets, words, bit, root = ranks.get, self.queue.buckets, self.queue.words, _BITS, 0
+        # pairs that appear: (place, rank or None), put into the queue in order
+        fresh = [(i, get(piece[i : i + 2])) for i in range(n - 1)]
+        while True:
+            for i, rank in fresh:
+                if rank is None:
+                    pair[i] = -1
+                    continue
                 pair[i] = rank
-                push(rank, i)
-        while (least := pop()) is not None:
-            rank, i = least
+                bucket = buckets[rank]
+                if bucket:
+                    heappush(bucket, i)
+                else:
+                    bucket.append(i)
+                    word = rank >> _SHIFT
+                    if not words[word]:
+                        root |= bit[word]
+                    words[word] |= bit[rank & _MASK]
+            if not root:
+                break
+            # find-first-set in the root, then in its word
+            word = (root & -root).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = (word << _SHIFT) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket.pop()
+                words[word] = bits = bits ^ low
+                if not bits:
+                    root &= root - 1
             if pair[i] != rank:
+                fresh = ()
                 continue  # stale
             middle = end[i]
             end[i] = stop = end[middle]
             pair[middle] = -1
+            left = before[i]
             if stop < n:
                 before[stop] = i
                 after = get(piece[i : end[stop]])
-                pair[i] = -1 if after is None else after
-                if after is not None:
-                    push(after, i)
             else:
-                pair[i] = -1
-            if (left := before[i]) >= 0:
-                joined = get(piece[left:stop])
-                pair[left] = -1 if joined is None else joined
-                if joined is not None:
-                    push(joined, left)
+                after = None
+            fresh = ((i, after),) if left < 0 else ((i, after), (left, get(piece[left:stop])))
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
@@ -146,6 +147,9 @@ class Encoder:
         Spark are)."""
         return self.table.encode([text])[0]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return self.table.encode(texts)
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -161,37 +165,49 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, keys: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Per document its keys, ``ids`` (array of int) and ``decoded`` (bytes).
+    """Per document its keys, ``ids`` (array of int), and what
+    ``digest_documents`` gives.
 
     Null texts are empty: no ids. Special tokens' strings are plain text.
     """
+    return _encoded(docs, keys, path, pattern, text, True)
 
-    def make() -> Callable[[bytes], tuple]:
+
+def digest_documents(docs: DataFrame, keys: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Per document its keys, n_tokens, and sha256 of the ids and of the bytes
+    they decode to.
+
+    Ids are hashed as little-endian unsigned 32-bit integers.
+    """
+    return _encoded(docs, keys, path, pattern, text, False)
+
+
+def _encoded(docs: DataFrame, keys: list[str], path: str, pattern: str, text: str, with_ids: bool) -> DataFrame:
+    def make() -> Callable[[list[bytes]], list[tuple]]:
         own = encoder(path, pattern)
 
-        def of(data: bytes) -> tuple:
-            ids = np.frombuffer(own.encode(data.decode()), dtype="<i4")
-            return ids, own.decode(ids.tolist())
+        def one(ids: bytes) -> tuple:
+            back = own.decode(array("I", ids))
+            digest = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
+            return (np.frombuffer(ids, dtype="<i4"), *digest) if with_ids else digest
 
-        return of
+        return lambda texts: [one(ids) for ids in own.encode_all([t.decode() for t in texts])]
 
-    return map_texts(docs, keys, text, make, [("ids", pa.list_(pa.int32()), "array<int>"), ("decoded", pa.binary(), "binary")])
+    fields = [("n_tokens", pa.int64(), "bigint"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    return map_texts(docs, keys, text, make, [("ids", pa.list_(pa.int32()), "array<int>")] * with_ids + fields, GROUP)
 
 
-def digest_documents(docs: DataFrame, keys: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Per document the number of ids and sha256 of the ids and of their decoding.
+def decode_documents(rows: DataFrame, keys: list[str], path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """Per row its keys and ``text``, what its ids decode to; null stays null.
 
-    Ids are hashed as little-endian unsigned 32-bit integers.
+    Ids that are no whole characters become replacement characters.
     """
+    kinds = dict(rows.dtypes)
 
-    def make() -> Callable[[bytes], tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        for batch in batches:
+            texts = [own.decode(x.values.to_numpy()).decode(errors="replace") if x.is_valid else None for x in batch.column(len(keys))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(texts, pa.string())], names=[*keys, "text"])
 
-        def of(data: bytes) -> tuple:
-            ids = own.encode(data.decode())
-            back = own.decode(np.frombuffer(ids, dtype="<u4").tolist())
-            return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
-
-        return of
-
-    return map_texts(docs, keys, text, make, [("n_tokens", pa.int64(), "bigint"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")])
+    return rows.select(*keys, ids).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "text string"]))

@@ -14,39 +14,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Words kept in a generation, and the longest that is kept.
-LIMIT, KEPT = 400_000, 64
+LIMIT, KEPT = 300_000, 64
 _MARKS = frozenset(".,;:!?|")
 
 
 class SegmentTable:
     """``encode`` over ``encode_many``, which gives the bytes of ids of whole
-    strings."""
+    strings, and ``encode_words``, which does so for words after a space."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = LIMIT) -> None:
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]], limit: int = LIMIT) -> None:
+        self.encode_many, self.encode_words, self.limit = encode_many, encode_words, limit
         self.young: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.marks = dict(zip(sorted(_MARKS), encode_many(sorted(_MARKS))))
 
-    def _new(self, words: set[str], missing: dict[str, None], joined: list[str]) -> bool:
-        """Sorts words that are not in the table; False if one ends in white
-        space, so that the space after it starts no match."""
-        for w in words:
-            if (known := self.older.get(w)) is not None:
-                self.young[w] = known
-            elif not w or w[-1].isspace():
-                return False
+    def _known(self, distinct: set[str]) -> dict[str, bytes]:
+        """Ids of each word; new ones are encoded and kept."""
+        young, older = self.young, self.older
+        known = {w: ids for w in distinct if (ids := young.get(w)) is not None}
+        missing: dict[str, None] = {}
+        joined: list[str] = []
+        for w in distinct:
+            if w in known:
+                continue
+            if (ids := older.get(w)) is not None:
+                known[w] = young[w] = ids
             elif w[-1] in _MARKS and w[-2:-1].isalpha():
+                joined.append(w)
                 base = w[:-1]
-                if base not in self.young:
-                    if (known := self.older.get(base)) is not None:
-                        self.young[base] = known
-                    else:
+                if base not in known and base not in missing:
+                    ids = young.get(base) or older.get(base)
+                    if ids is None:
                         missing[base] = None
-                joined.append(w)
+                    else:
+                        known[base] = young[base] = ids
             else:
                 missing[w] = None
-        return True
+        if missing:
+            known.update(zip(missing, self.encode_words(list(missing))))
+        for w in joined:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
+        young.update((w, known[w]) for w in [*missing, *joined] if len(w) <= KEPT)
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Bytes of ids of each text."""
@@ -54,27 +63,25 @@ class SegmentTable:
             self.older, self.young = self.young, {}
         cut: list[tuple[str, list[str], str | None] | None] = []
         whole: dict[str, None] = {}
-        missing: dict[str, None] = {}
-        joined: list[str] = []
+        distinct: set[str] = set()
         for text in texts:
             head, space, rest = text.partition(" ")
             words = rest.split(" ") if space else []
             tail = None
             if words and (not words[-1] or words[-1][-1].isspace()):
                 tail = " " + words.pop()
-            if (space and (not head or head[-1].isspace())) or not self._new(set(words).difference(self.young), missing, joined):
+            own = set(words)
+            # every word that ends in white space is new: none is ever kept
+            if (space and (not head or head[-1].isspace())) or any(not w or w[-1].isspace() for w in own.difference(distinct) if w not in self.young):
                 cut.append(None)
                 whole[text] = None
                 continue
+            distinct |= own
             whole[head] = None
             if tail is not None:
                 whole[tail] = None
             cut.append((head, words, tail))
-        young = self.young
-        if missing:
-            young.update(zip(missing, self.encode_many([" " + w for w in missing])))
-        for w in joined:
-            young[w] = young[w[:-1]] + self.marks[w[-1]]
+        known = self._known(distinct)
         strings = dict(zip(whole, self.encode_many(list(whole))))
         out = []
         for text, parts in zip(texts, cut):
@@ -82,8 +89,6 @@ class SegmentTable:
                 out.append(strings[text])
             else:
                 head, words, tail = parts
-                ids = b"".join([strings[head], *map(young.__getitem__, words)])
+                ids = b"".join([strings[head], *map(known.__getitem__, words)])
                 out.append(ids if tail is None else ids + strings[tail])
-        for w in [w for w in [*missing, *joined] if len(w) > KEPT]:
-            young.pop(w, None)
         return out

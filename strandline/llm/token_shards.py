@@ -186,11 +186,28 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True
         small = self.tokenizer.get_vocab_size() <= 0x10000
         self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
-        self.table = SegmentTable(self._library, cache)
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)  # byte-level: a character stands for a byte
+        self.table = SegmentTable(self._library, self._words, cache)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """New words go through the library as one text; what belongs to each
+        is told by the bytes of the tokens, as none crosses a space."""
+        text = [" " + w for w in words]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, dtype=self.kind)
+        upto = np.cumsum(self.bytes_of[ids])
+        ends = np.cumsum([len(w.encode()) for w in text])
+        stops = np.searchsorted(upto, ends) + 1
+        if len(upto) != stops[-1] or (upto[stops - 1] != ends).any():
+            return self._library(text)
+        data, size = ids.tobytes(), self.kind.itemsize
+        cuts = [0, *(stops * size).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers."""
         return self.table.encode(texts)
