@@ -6,7 +6,7 @@ that cannot repeat are left out first, without loss:
 1. Each string of ``length`` bytes is named by its anchor: the leftmost of
    its k-mers whose hash is least. Equal strings have equal anchors at equal
    places, and neighbouring strings share theirs, so a text has about one
-   anchor in 80 bytes. Strings whose anchor's k-mer occurs once are unique.
+   anchor in 60 bytes. Strings whose anchor's k-mer occurs once are unique.
 2. All strings that share one occurrence of an anchor form its context.
    Contexts equal as a whole are one class; a class of two or more repeats
    all its strings. Only where an anchor's k-mer has contexts that differ
@@ -38,10 +38,11 @@ from strandline.llm.shared import stored
 from strandline.llm.textkit import mix64
 
 LENGTH = 200
-#: Bytes of the k-mers that anchor strings.
-KMER = 40
+#: Bytes of the k-mers that anchor strings: longer ones are seldom shared by
+#: strings that differ, shorter ones give fewer anchors.
+KMER = 80
 #: Bytes of contexts sorted at once.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Classes of an anchor that go to one task.
 HOT = 20_000
 _PIECE = (1 << 20) - 4096
