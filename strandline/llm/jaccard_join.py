@@ -46,7 +46,7 @@ WIDTH, PERCENT = 4, 85
 COUNTER_BITS = 23
 _SLICES = 64
 #: Bytes of text in a piece of a block.
-PIECE_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 
 
 def set_of(data: bytes, width: int = WIDTH) -> np.ndarray:
