@@ -122,6 +122,12 @@ def _log_prior(mu: float, log_sigma: float, prior: LnpPrior | None) -> float:
     return -(2 * prior.alpha + 3) * log_sigma - (2 * prior.beta + prior.strength * (mu - prior.mean) ** 2) / (2 * s2)
 
 
+def prior_constant(prior: LnpPrior) -> float:
+    """What makes the prior density whole; evidences of different numbers of
+    segments are comparable only with it."""
+    return 0.5 * math.log(prior.strength / (2 * math.pi)) + prior.alpha * math.log(prior.beta) - math.lgamma(prior.alpha)
+
+
 def lnp_derivatives(x, base, mu: float, log_sigma: float, prior: LnpPrior | None = None, nodes: int = 25, radius: float = 6.0):
     """(log likelihood, gradient, Hessian) in (mu, log sigma)."""
     x, base = np.asarray(x, float), np.asarray(base, float)
