@@ -10,6 +10,21 @@ from pyspark.sql import DataFrame
 #: Bytes of text whose rows go out as one Arrow batch.
 _BATCH = 8 << 20
 
+#: Rows and bytes of one batch from Spark. Spark's 10,000 rows of long texts,
+#: twice over in each of several workers, are more than an executor can spare.
+MOST_ROWS, MOST_BYTES = 1000, 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; the session's batches for Python workers from now on hold at
+    most MOST_ROWS rows and MOST_BYTES bytes, or fewer as it was set."""
+    conf = docs.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", MOST_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", MOST_BYTES)):
+        now = conf.get(name, "0").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return docs
+
 
 def encoded(text: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
@@ -51,4 +66,4 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, make: Callable[[], Ca
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keys))] + made, names=[*keys, *(n for n, _, _ in fields)])
 
-    return docs.select(*taken).mapInArrow(run, schema)
+    return small_batches(docs).select(*taken).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import encoded
+from strandline.llm.batches import encoded, small_batches
 from strandline.llm.textkit import mix64, runs
 
 #: Bytes of a chunk: least, most; ends one in 2**END_BITS after the least.
@@ -112,7 +112,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_r
     equal ids count as one document, whose chunks do not repeat each other;
     null ids are one id, before all others. An empty table stays empty.
     """
-    found = chunks(docs, key, text)
+    found = chunks(small_batches(docs), key, text)
     repeated = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first")).filter("n > 1").drop("n")
     places = found.join(repeated, ["high", "low"]).select("__id", "__text", F.when(F.col("__id") == F.col("first"), -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
     lists = places.groupBy("__id", "__text").agg(F.collect_list("place").alias("places"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import encoded
+from strandline.llm.batches import encoded, small_batches
 from strandline.llm.shared import stored
 from strandline.llm.textkit import runs, separator_table, word_hashes
 
@@ -273,7 +273,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     as one. Columns of ``docs`` with these names are replaced.
     """
     none = F.array().cast("array<int>")
-    rows = docs.withColumns({"__words": F.lit(0).cast("long"), "__from": none, "__to": none, "__items": F.array().cast("array<string>")})
+    rows = small_batches(docs).withColumns({"__words": F.lit(0).cast("long"), "__from": none, "__to": none, "__items": F.array().cast("array<string>")})
     blocks = 0
     for block in item_blocks(benchmark, item_id, item_text, block_bytes):
         if blocks and blocks % BLOCKS_PER_PLAN == 0:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Words kept in a generation, and the longest that is kept.
-LIMIT, KEPT = 300_000, 64
+LIMIT, KEPT = 200_000, 64
 _MARKS = frozenset(".,;:!?|")
 
 

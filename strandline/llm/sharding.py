@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.batches import small_batches
 from strandline.llm.shared import folder
 
 #: Bytes of text that a bucket holds on average.
@@ -46,7 +47,7 @@ def permuted(docs: DataFrame, shards: int, seed: int = 7, key: str = "doc_id", t
     interchangeable. An empty table stays empty. Columns of ``docs`` named
     shard or slot are replaced.
     """
-    rows, counts = scattered(docs.drop("shard", "slot"), key, text, seed, bucket_bytes)
+    rows, counts = scattered(small_batches(docs).drop("shard", "slot"), key, text, seed, bucket_bytes)
     first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     total = int(first[-1])
     bounds = np.array([s * total // shards for s in range(shards + 1)], dtype=np.int64)

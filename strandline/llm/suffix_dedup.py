@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import suffix_sort
-from strandline.llm.batches import encoded
+from strandline.llm.batches import encoded, small_batches
 from strandline.llm.shared import stored
 from strandline.llm.textkit import mix64
 
@@ -252,7 +252,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
     ``length`` bytes lose nothing. Rows with equal ids are documents of their
     own; equal rows repeat each other. An empty table stays empty.
     """
-    rows = docs.select(*_row(key, text))
+    rows = small_batches(docs).select(*_row(key, text))
     spans = repeated_spans(rows, **options)
     lists = spans.groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     met = rows.join(lists.hint("shuffle_hash"), ["__id", "__text"], "left").select("__id", "__text", "__data", "spans")

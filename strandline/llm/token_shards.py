@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import encoded
+from strandline.llm.batches import encoded, small_batches
 from strandline.llm.segments import LIMIT, SegmentTable
 from strandline.llm.textkit import mix64
 
@@ -244,7 +244,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, end: int, key: str =
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     count = int(size // shard_bytes + 1)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.asc_nulls_first("key"), "tie"]
     dealt = rows.repartitionByRange(count, *order).sortWithinPartitions(*order).select("key", "text")
 
