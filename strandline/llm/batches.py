@@ -20,7 +20,7 @@ def small_batches(docs: DataFrame) -> DataFrame:
     most MOST_ROWS rows and MOST_BYTES bytes, or fewer as it was set."""
     conf = docs.sparkSession.conf
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", MOST_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", MOST_BYTES)):
-        now = conf.get(name, "0").rstrip("bB")
+        now = conf.get(name).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
     return docs
