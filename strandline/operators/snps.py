@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandline.functions.special import beta_cdf, beta_logcdf, beta_logsf, beta_ppf
@@ -73,7 +74,7 @@ def credible_interval(sites: DataFrame) -> DataFrame:
     """ci_lo, median, ci_hi of the fraction of haplotype A."""
 
     def quantile(q: float):
-        @F.pandas_udf("double")
+        @F.pandas_udf(T.DoubleType())
         def of(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series(beta_ppf(q, a.to_numpy(float) + 1, b.to_numpy(float) + 1, 50))
 
@@ -178,21 +179,21 @@ def heterozygous(ref: Column, alt: Column) -> Column:
     return het_mass(ref, alt) > 0.7
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def het_mass(ref: pd.Series, alt: pd.Series) -> pd.Series:
     """Posterior mass of an alternate fraction between 0.4 and 0.6."""
     a, b = alt.to_numpy(float) + 1, ref.to_numpy(float) + 1
     return pd.Series(beta_cdf(0.6, a, b) - beta_cdf(0.4, a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def het_log_odds(ref: pd.Series, alt: pd.Series) -> pd.Series:
     """Log posterior odds of a fraction above one half."""
     a, b = alt.to_numpy(float) + 1, ref.to_numpy(float) + 1
     return pd.Series(beta_logsf(0.5, a, b) - beta_logcdf(0.5, a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hom_mass(ref: pd.Series, alt: pd.Series) -> pd.Series:
     """Posterior mass of an alternate fraction above 0.95."""
     return pd.Series(1 - beta_cdf(0.95, alt.to_numpy(float) + 1, ref.to_numpy(float) + 1))

@@ -35,3 +35,9 @@ def test_equals_sql(spark, sf, duck, name):
     other = sorted([tuple(plain(r[k]) for k in place) for r in expected.fetchall()], key=repr)
     assert len(rows) == len(other) and len(rows) > 0
     assert rows == other
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
+def test_runs_alike_twice(spark, sf, name):
+    rows = [sorted(map(repr, catalog.QUERIES[name](spark, sf).collect())) for _ in range(2)]
+    assert rows[0] and rows[0] == rows[1]
