@@ -34,7 +34,7 @@ _SHIFT = 8
 _WIDTH, _MASK = 1 << _SHIFT, (1 << _SHIFT) - 1
 _BITS = [1 << k for k in range(_WIDTH)]
 #: Bytes of text encoded together.
-GROUP = 1 << 19
+GROUP = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +65,7 @@ class Encoder:
         self.split = regex.compile(pattern)
         self.queue = RankQueue(self.top)
         self.matches: dict[str, bytes] = {}
-        self.table = SegmentTable(self._segments, lambda words: self._segments([" " + w for w in words]), cache)
+        self.table = SegmentTable(self._segments, lambda words: self._segments([" " + w for w in words]), np.dtype("<u4"), cache)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
@@ -145,9 +145,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit integers (little-endian, as all platforms of
         Spark are)."""
-        return self.table.encode([text])[0]
+        return self.table.encode([text.encode()])[0]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The same for many texts in UTF-8."""
         return self.table.encode(texts)
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -191,7 +192,7 @@ def _encoded(docs: DataFrame, keys: list[str], path: str, pattern: str, text: st
             digest = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
             return (np.frombuffer(ids, dtype="<i4"), *digest) if with_ids else digest
 
-        return lambda texts: [one(ids) for ids in own.encode_all([t.decode() for t in texts])]
+        return lambda texts: [one(ids) for ids in own.encode_all(texts)]
 
     fields = [("n_tokens", pa.int64(), "bigint"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
     return map_texts(docs, keys, text, make, [("ids", pa.list_(pa.int32()), "array<int>")] * with_ids + fields, GROUP)

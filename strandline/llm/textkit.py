@@ -92,13 +92,18 @@ def word_hashes(data: bytes, separators: np.ndarray = SPACE_TABLE) -> np.ndarray
 
 def _word_hashes(data: bytes, separators: np.ndarray) -> np.ndarray:
     raw = np.frombuffer(data, dtype=np.uint8)
-    start, end = _spans(separators[raw])
+    return spans_and_hashes(raw, separators[raw])[2]
+
+
+def spans_and_hashes(raw: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the runs of bytes between separators."""
+    start, end = _spans(separator)
     if not len(start):
-        return np.empty(0, dtype=np.uint64)
+        return start, end, np.empty(0, dtype=np.uint64)
     up, down = _POWERS.get(len(raw) + 1)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

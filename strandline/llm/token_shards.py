@@ -44,7 +44,7 @@ from strandline.llm.textkit import mix64
 
 MAGIC = b"STRNDTK1"
 SHARD_BYTES = 64 << 20
-#: Texts are encoded in groups of about so many characters.
+#: Texts are encoded in groups of about so many bytes.
 GROUP = 1 << 20
 _HEADER = struct.Struct("<8s5Q")
 
@@ -189,7 +189,7 @@ class TextEncoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)  # byte-level: a character stands for a byte
-        self.table = SegmentTable(self._library, self._words, cache)
+        self.table = SegmentTable(self._library, self._words, self.kind, cache)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -208,8 +208,8 @@ class TextEncoder:
         cuts = [0, *(stops * size).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text in UTF-8, as little-endian integers."""
         return self.table.encode(texts)
 
 
@@ -222,12 +222,12 @@ def text_encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     keys, texts, size = [], [], 0
     for batch in batches:
         for key, data in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
             keys.append(key)
-            texts.append(data.decode())
+            texts.append(data)
             size += len(data)
             if size >= GROUP:
                 yield keys, texts
