@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chunk_dedup, decontamination, host_reputation, jaccard_join, pseudonyms, quality_rules, shared, sharding, suffix_dedup, token_shards
+from strandline.llm import bpe, chunk_dedup, decontamination, host_reputation, jaccard_join, oracles, pseudonyms, quality_rules, shared, sharding, suffix_dedup, token_shards
 
 #: Key of the registered pseudonym query. A real run takes its own secret.
 PSEUDONYM_KEY = "strandline-demonstration-key"
@@ -75,4 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_token_shards, op8_sharding, op9_host_reputation, op10_jaccard_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op9_host_reputation": host_reputation.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op5_quality_rules": oracles.QUALITY,
+    "op9_host_reputation": host_reputation.ORACLE_SQL,
+    "op10_jaccard_join": oracles.JACCARD,
+}
