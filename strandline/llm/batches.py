@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +28,19 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which after its last batch gives the memory it freed back to
+    the system: workers live on, and other tasks share their executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def encoded(text: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     for x in text.cast(pa.binary()):
@@ -66,4 +81,4 @@ def map_texts(docs: DataFrame, keys: list[str], text: str, make: Callable[[], Ca
                 at += len(some)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keys))] + made, names=[*keys, *(n for n, _, _ in fields)])
 
-    return small_batches(docs).select(*taken).mapInArrow(run, schema)
+    return small_batches(docs).select(*taken).mapInArrow(tidy(run), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandline.llm.batches import map_texts
+from strandline.llm.batches import map_texts, tidy
 from strandline.llm.segments import LIMIT, SegmentTable
 
 #: Bits of a bitmap word.
@@ -34,7 +34,7 @@ _SHIFT = 8
 _WIDTH, _MASK = 1 << _SHIFT, (1 << _SHIFT) - 1
 _BITS = [1 << k for k in range(_WIDTH)]
 #: Bytes of text encoded together.
-GROUP = 1 << 20
+GROUP = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -211,4 +211,4 @@ def decode_documents(rows: DataFrame, keys: list[str], path: str, pattern: str,
             texts = [own.decode(x.values.to_numpy()).decode(errors="replace") if x.is_valid else None for x in batch.column(len(keys))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(texts, pa.string())], names=[*keys, "text"])
 
-    return rows.select(*keys, ids).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "text string"]))
+    return rows.select(*keys, ids).mapInArrow(tidy(run), ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "text string"]))

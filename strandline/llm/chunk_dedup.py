@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import encoded, small_batches
+from strandline.llm.batches import encoded, small_batches, tidy
 from strandline.llm.textkit import mix64, runs
 
 #: Bytes of a chunk: least, most; ends one in 2**END_BITS after the least.
@@ -101,7 +101,7 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["__id", "__text", "place", "high", "low"])
 
-    return docs.select(*_row(key, text), text).mapInArrow(run, "__id bigint, __text int, place int, high bigint, low bigint")
+    return docs.select(*_row(key, text), text).mapInArrow(tidy(run), "__id bigint, __text int, place int, high bigint, low bigint")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
@@ -127,7 +127,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_r
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[0], pa.string()), *[pa.array(x, pa.int64()) for x in made[1:]]], names=[key, text, "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans"])
 
     kind = dict(docs.dtypes)[key]
-    return rows.select("__key", "__data", "places").mapInArrow(run, f"`{key}` {kind}, `{text}` string, n_bytes bigint, n_chunks bigint, n_repeated bigint, n_removed bigint, n_spans bigint")
+    return rows.select("__key", "__data", "places").mapInArrow(tidy(run), f"`{key}` {kind}, `{text}` string, n_bytes bigint, n_chunks bigint, n_repeated bigint, n_removed bigint, n_spans bigint")
 
 
 def _long_runs(marked: np.ndarray, ends: np.ndarray, min_run: int) -> list[tuple[int, int]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import encoded, small_batches
+from strandline.llm.batches import encoded, small_batches, tidy
 from strandline.llm.shared import stored
 from strandline.llm.textkit import runs, separator_table, word_hashes
 
@@ -261,7 +261,7 @@ def _apply(rows: DataFrame, spark: SparkSession, block: list[tuple[str, bytes]],
         if held:
             yield from flush(shard, held)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -332,7 +332,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                         shard, ids = Shard(items), []
             yield from flush(shard, ids)
 
-        part = docs.select(doc_id, text).mapInArrow(run, f"item_id string, item_word bigint, n_words bigint, doc_id {kinds[doc_id]}, doc_word bigint")
+        part = docs.select(doc_id, text).mapInArrow(tidy(run), f"item_id string, item_word bigint, n_words bigint, doc_id {kinds[doc_id]}, doc_word bigint")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], f"item_id string, item_word bigint, n_words bigint, doc_id {kinds[doc_id]}, doc_word bigint")

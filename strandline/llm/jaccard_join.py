@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.batches import encoded, map_texts
+from strandline.llm.batches import encoded, map_texts, tidy
 from strandline.llm.components import components
 from strandline.llm.shared import stored
 from strandline.llm.textkit import shingle_set, word_hashes
@@ -43,10 +43,10 @@ from strandline.llm.textkit import shingle_set, word_hashes
 WIDTH, PERCENT = 4, 85
 #: Counters of the table of n-gram counts, as a power of two. Its size is
 #: fixed, a byte a counter where it is broadcast; it sets the order alone.
-COUNTER_BITS = 23
+COUNTER_BITS = 22
 _SLICES = 64
 #: Bytes of text in a piece of a block.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def set_of(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -97,7 +97,7 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) ->
                 s = set_of(data, width)
                 held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(s)
-                if size > 2_000_000:
+                if size > 500_000:
                     add()
         add()
         if table.any():
@@ -113,7 +113,7 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()])], names=["part", "counts"])
 
     kind = "part int, counts binary"
-    found = docs.select(text).mapInArrow(count, kind).repartition(_SLICES, "part").mapInArrow(total, kind).collect()
+    found = docs.select(text).mapInArrow(tidy(count), kind).repartition(_SLICES, "part").mapInArrow(tidy(total), kind).collect()
     table = np.zeros((_SLICES, (1 << bits) // _SLICES), dtype=np.uint8)
     for row in found:
         table[row.part] = np.frombuffer(row.counts, dtype=np.uint8)
@@ -147,7 +147,7 @@ def _ties(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> Da
                 columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "name", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "token bigint, name bigint, n int")
+    rows = docs.select(text).mapInArrow(tidy(run), "token bigint, name bigint, n int")
     w = Window.partitionBy("token").orderBy("n", "name")
     near = rows.select("name", "n", F.lag("name").over(w).alias("a"), F.lag("n").over(w).alias("m"))
     tied = near.filter((F.col("a") != F.col("name")) & (100 * F.col("m").cast("long") >= percent * F.col("n").cast("long")))
@@ -256,7 +256,7 @@ def _joined(pieces: DataFrame, width: int, percent: int) -> DataFrame:
         yield from flush()
 
     order = ["block", "first", "second"]
-    return pieces.select(*order, "piece", "name", "text").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint")
+    return pieces.select(*order, "piece", "name", "text").repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _texts(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -274,7 +274,7 @@ def _texts(docs: DataFrame, text: str, width: int) -> DataFrame:
                     at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["name", "text"])
 
-    return docs.select(text).mapInArrow(run, "name bigint, text string")
+    return docs.select(text).mapInArrow(tidy(run), "name bigint, text string")
 
 
 def linked_classes(docs: DataFrame, known: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, counter_bits: int = COUNTER_BITS, piece_bytes: int = PIECE_BYTES) -> DataFrame:

@@ -19,9 +19,9 @@ import numpy as np
 from strandline.llm.textkit import spans_and_hashes
 
 #: Words that a table holds before it starts anew, some 40 bytes each.
-LIMIT = 2_000_000
+LIMIT = 700_000
 #: Words added before they are merged into the sorted table.
-_RECENT = 150_000
+_RECENT = 100_000
 #: Longer texts are encoded whole, to bound the arrays of a group.
 _LONGEST = 4 << 20
 _SPACE = 0x20

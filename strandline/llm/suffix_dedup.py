@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import suffix_sort
-from strandline.llm.batches import encoded, small_batches
+from strandline.llm.batches import encoded, small_batches, tidy
 from strandline.llm.shared import stored
 from strandline.llm.textkit import mix64
 
@@ -128,7 +128,7 @@ def _anchor_rows(docs: DataFrame, length: int, kmer: int, located: bool) -> Data
                 made += [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(first), pa.int32()), pa.array(np.concatenate(span), pa.int16()), pa.array(np.concatenate(offset), pa.int16())]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return (docs if located else docs.select("__data")).mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return (docs if located else docs.select("__data")).mapInArrow(tidy(run), ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
 _CONTEXT = "bucket bigint, hash bigint, data binary, offset smallint, single boolean, __id bigint, __text int, first int"
@@ -167,7 +167,7 @@ def _contexts(rows: DataFrame, length: int, hot: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int16(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "hash", "data", "offset", "single", "__id", "__text", "first"])
 
-    return rows.mapInArrow(run, _CONTEXT)
+    return rows.mapInArrow(tidy(run), _CONTEXT)
 
 
 def _sorted_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
             yield from flush()
 
     rows = contexts.select("bucket", "data", "single", "__id", "__text", "first")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "__id bigint, __text int, start int, stop int")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "__id bigint, __text int, start int, stop int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -272,4 +272,4 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), kinds)], names=names)
 
     schema = f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(tidy(run), schema)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import encoded, small_batches
+from strandline.llm.batches import encoded, small_batches, tidy
 from strandline.llm.segments import LIMIT, SegmentTable
 from strandline.llm.textkit import mix64
 
@@ -265,7 +265,7 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, end: int, key: str =
         write_shard(path, ids, lengths, np.array([k or 0 for k in keys], dtype=np.int64), null)
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64())], names=["number", "path", "docs", "ids"])
 
-    made = dealt.mapInArrow(run, "number int, path string, docs bigint, ids bigint").collect()
+    made = dealt.mapInArrow(tidy(run), "number int, path string, docs bigint, ids bigint").collect()
     return [(r.path, r.docs, r.ids) for r in sorted(made)]
 
 
@@ -287,4 +287,4 @@ def read_shards(spark, shards: list[tuple[str, int, int]], key: str = "doc_id")
                 crc = [zlib.crc32(shard.ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(start.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.keys, pa.int64(), mask=shard.null), pa.array(start + at), pa.array(length), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return rows.repartition(max(1, len(shards))).mapInArrow(run, f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.repartition(max(1, len(shards))).mapInArrow(tidy(run), f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
