@@ -54,12 +54,20 @@ def pair_segments(truth: DataFrame, found: DataFrame, width: int = 5_000_000) ->
 def compare(truth: DataFrame, found: DataFrame, low: float = 0.25, high: float = 4.0, points: int = 400) -> DataFrame:
     """One row: the least length-weighted absolute deviation of both alleles
     over scale factors, the factors within 1 % of it, and lengths that overlap
-    and that do not. Factors are exploded from a sequence."""
+    and that do not. Batches of overlaps are summed under all factors at once."""
     pairs = pair_segments(truth, found)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.lit(low) * F.pow(F.lit(high / low), k / F.lit(points - 1.0)))
-    rows = pairs.withColumn("k", F.explode(grid))
-    error = (F.abs(F.col("t_major") - F.col("k") * F.col("f_major")) + F.abs(F.col("t_minor") - F.col("k") * F.col("f_minor"))) / 2
-    scores = rows.groupBy("k").agg(weighted_mean(error, F.col("length")).alias("mad"))
+    factors = low * np.power(high / low, np.arange(points) / (points - 1.0))
+
+    def partial(batches):
+        """Weighted error and weight of a batch under every factor."""
+        for p in batches:
+            error = np.zeros(points)
+            for t, f in (("t_major", "f_major"), ("t_minor", "f_minor")):
+                error += (np.abs(p[t].to_numpy(float) - factors[:, None] * p[f].to_numpy(float)) * p["length"].to_numpy(float) / 2).sum(axis=1)
+            yield pd.DataFrame({"k": factors, "error": error, "weight": float(p["length"].sum())})
+
+    sums = pairs.select("t_major", "t_minor", "f_major", "f_minor", "length").mapInPandas(partial, "k double, error double, weight double")
+    scores = sums.groupBy("k").agg((F.sum("error") / F.sum("weight")).alias("mad"))
     best = scores.agg(F.min("mad").alias("m")).first()["m"]
     length = truth.agg(F.sum(F.col("end_bp") - F.col("start_bp")).alias("t")).first()["t"] or 0
     near = scores.filter(F.col("mad") <= F.lit((best or 0.0) * 1.01)).agg(F.min("mad").alias("mad_score"), F.min("k").alias("optimal_lower_bound"), F.max("k").alias("optimal_upper_bound"))

@@ -32,7 +32,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mcmc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return allelic_mcmc.allelic_segments(_sites(spark, sf_dir), ["arm"], "place", "major", "minor", iterations=400, draws=3)
+    return allelic_mcmc.allelic_segments(_sites(spark, sf_dir), ["arm"], "place", "major", "minor", iterations=200, draws=3)
 
 
 @query()
