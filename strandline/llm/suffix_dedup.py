@@ -215,7 +215,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, bloc
     ``docs``: (__id, __text, __data).
     """
     again = _anchor_rows(docs, length, kmer, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    again = again.select("hash", (F.col("low") != F.col("high")).alias("mixed"))
+    # written down, so that the join below shuffles both sides and Spark can
+    # split the rows of a k-mer that very many documents share
+    again = stored(again.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "suffix-repeated")
     found = stored(_anchor_rows(docs, length, kmer, True).join(again.hint("shuffle_hash"), "hash"), "suffix-anchors")
     span = [F.col("first").alias("start"), (F.col("first") + F.col("span") + length).alias("stop")]
     whole = found.filter("not mixed").select("__id", "__text", *span)
