@@ -150,7 +150,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     bounded = lambda t, key, name: t.select(key, lower_bound(F.col("a"), F.col("b"), z).alias(name))
     hosts = hosts.join(bounded(of_host, "host", "b0"), "host", "left").join(bounded(of_domain, "domain", "b1"), "domain", "left").join(bounded(of_suffix, "suffix", "b2"), "suffix", "left")
     last = lower_bound(F.lit(everything[0]), F.lit(everything[1]), z)
-    blocked = hosts.filter(F.coalesce("b0", "b1", "b2", last) > limit).select("host", F.lit("block").alias("_reputation"))
+    # written down, so that Spark can split a host with most of the pages
+    blocked = stored(hosts.filter(F.coalesce("b0", "b1", "b2", last) > limit).select("host", F.lit("block").alias("_reputation")), "host-blocked")
     judged = cut.join(blocked, "host", "left")
     return judged.select(
         page_id, "host", "path", matching_rule(F.col("host"), F.col("path"), rules, "name").alias("rule"),
