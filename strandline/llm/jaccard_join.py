@@ -43,7 +43,7 @@ from strandline.llm.textkit import shingle_set, word_hashes
 WIDTH, PERCENT = 4, 85
 #: Counters of the table of n-gram counts, as a power of two. Its size is
 #: fixed, a byte a counter where it is broadcast; it sets the order alone.
-COUNTER_BITS = 22
+COUNTER_BITS = 24
 _SLICES = 64
 #: Bytes of text in a piece of a block.
 PIECE_BYTES = 4 << 20
@@ -83,13 +83,13 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) ->
     """Codes of the number of sets that hold an n-gram, by its upper bits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = np.zeros(1 << bits, dtype=np.uint32), [], 0
+        table, held, size = np.zeros(1 << bits, dtype=np.uint16), [], 0
 
         def add() -> None:
             nonlocal held, size
             if held:
                 at, n = np.unique(np.concatenate(held), return_counts=True)
-                table[at] += n.astype(np.uint32)
+                table[at] = np.minimum(table[at] + n, 0xFFFF)  # so common is common enough
             held, size = [], 0
 
         for batch in batches:
@@ -108,7 +108,7 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) ->
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint32).astype(np.uint64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint16).astype(np.uint64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()])], names=["part", "counts"])
 
