@@ -17,6 +17,10 @@ from strandline.llm import bpe, decontamination, jaccard_join, pseudonyms, quali
 from strandline.llm.registry import PSEUDONYM_KEY, read
 from strandline.llm.shared import stored
 
+#: Near-duplicates share four fifths of their runs of five words; the operator's
+#: defaults are those of the op10 query.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -36,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     placed = docs.withColumn("__row", F.monotonically_increasing_id())
     order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(38,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("__row")
     keyed = placed.select("__row", order.cast("decimal(38,0)").alias("__order"), "text")
-    groups = jaccard_join.grouped(keyed, ["__row", "__order"], key="__order")
+    groups = jaccard_join.grouped(keyed, ["__row", "__order"], key="__order", width=NEAR_WIDTH, percent=NEAR_PERCENT)
     first = groups.filter((F.col("component_id") == F.col("__order")) | (F.col("n_shingles") == 0)).select("__row")
     return placed.join(first.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
