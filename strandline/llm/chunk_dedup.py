@@ -6,8 +6,8 @@ ends near it only and equal passages fall into equal chunks wherever they
 stand. Chunks go by a 128-bit digest: of those found more than once, the
 first stays (smallest document id, then place), the others are removed.
 
-A chunk alone says little, as short phrases recur by chance: repeated chunks
-that follow each other form a run, and runs under ``MIN_RUN`` bytes stay.
+Repeated chunks that follow each other form a run. Every run goes, however
+short; ``min_run`` spares shorter ones where a caller asks for it.
 
 Digests are counted with partial sums before they are shuffled, so one that
 a third of all documents share is one row of each task; rows that look their
@@ -30,7 +30,8 @@ from strandline.llm.textkit import mix64, runs
 
 #: Bytes of a chunk: least, most; ends one in 2**END_BITS after the least.
 MIN_CHUNK, MAX_CHUNK, END_BITS = 24, 256, 5
-MIN_RUN = 100
+#: Least bytes of a run that is removed.
+MIN_RUN = 1
 _GEAR = (mix64(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
