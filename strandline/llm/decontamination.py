@@ -1,10 +1,11 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
 Each task cuts its documents into shards and builds a suffix array over the
-words of a shard. Every suffix of every test item is looked up in it by
-binary search, which gives its longest verbatim match in the shard and where
-the match lies. A document with a match of a whole window (ten words, or all
-of a shorter item) is affected.
+words of a shard. The opening window of every test suffix (ten words, or all
+of a shorter item; equal ones once) is looked up in it by binary search, which
+gives all places of the shard where it stands: a document with one is
+affected. ``longest_matches`` finds the longest verbatim match of every test
+suffix and where it lies; one place for a suffix says less than hits need.
 
 The arrays are sparse: a training suffix whose opening words open no test
 suffix cannot match, so it is left out before sorting; what is left is sorted
@@ -29,7 +30,7 @@ from strandline.llm.shared import stored
 from strandline.llm.textkit import runs, separator_table, word_hashes
 
 WINDOW = 10
-#: Words to which suffixes are ordered; longer matches continue in later suffixes.
+#: Words to which suffixes are ordered; beyond, longest matches compare words.
 DEPTH = 64
 #: UTF-8 bytes of items in one broadcast.
 BLOCK_BYTES = 8 << 20
@@ -86,7 +87,7 @@ class TestItems:
         self.vocabulary = _Lookup(np.concatenate([w for _, w in hashed]))
         self.kind = np.dtype(">u2") if len(self.vocabulary.keys) < 0xFFFF else np.dtype(">u4")
         self.names = [name for name, _ in hashed]
-        ids = [self.vocabulary(w) for _, w in hashed]
+        ids = self.ids = [self.vocabulary(w) for _, w in hashed]
         self.suffixes = [(i, k) for i, x in enumerate(ids) for k in range(len(x))]
         self.depth = min(DEPTH, max(window, max(map(len, ids))))
         self.keys = self._rows([ids[i][k : k + self.depth] for i, k in self.suffixes], 0)
@@ -171,7 +172,7 @@ class Shard:
             rows[:, k] = np.where(alive, column, 0)
         keys = rows.view(f"S{depth * kind.itemsize}").ravel()
         order = np.argsort(keys, kind="stable")
-        self.array, self.keys = places[order], keys[order]
+        self.array, self.keys, self.words = places[order], keys[order], ids
 
     def occurrences(self) -> Iterator[tuple[int, np.ndarray]]:
         """(window, places) of the windows that occur."""
@@ -180,19 +181,36 @@ class Shard:
         for w in np.flatnonzero(high > low):
             yield w, self.array[low[w] : high[w]]
 
-    def longest(self) -> Iterator[tuple[int, int, int]]:
-        """(test suffix, words, place) of the longest match of each suffix."""
+    def longest(self, least: int = 1) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(test suffix, words, places) of the longest match, of ``least``
+        words or more, of each suffix; all the places of that length."""
         kind, depth = self.items.kind, self.items.depth
         at = np.searchsorted(self.keys, self.items.keys)
         own = self.items.keys.view(kind).reshape(-1, depth)
-        best, where = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+        best = np.zeros(len(own), dtype=np.int64)
         for side in (np.maximum(at - 1, 0), np.minimum(at, len(self.keys) - 1)):
             same = (self.keys[side].view(kind).reshape(-1, depth) == own) & (own > 0)
-            length = np.logical_and.accumulate(same, axis=1).sum(axis=1)
-            where = np.where(length > best, self.array[side], where)
-            best = np.maximum(best, length)
-        for s in np.flatnonzero(best):
-            yield int(s), int(best[s]), int(where[s])
+            best = np.maximum(best, np.logical_and.accumulate(same, axis=1).sum(axis=1))
+        for s in np.flatnonzero(best >= max(least, 1)):
+            n = int(best[s])
+            prefix = [own[s, :n].astype(np.int32)]
+            low = np.searchsorted(self.keys, self.items._rows(prefix, 0)[0], side="left")
+            high = np.searchsorted(self.keys, self.items._rows(prefix, np.iinfo(kind).max)[0], side="right")
+            places = self.array[low:high]
+            if n == depth:
+                i, k = self.items.suffixes[s]
+                n, places = self._extended(self.items.ids[i][k:], n, places)
+            yield int(s), n, places
+
+    def _extended(self, suffix: np.ndarray, n: int, places: np.ndarray) -> tuple[int, np.ndarray]:
+        """Matches of the first ``n`` words, gone on word by word: the most
+        words that match and the places where they do."""
+        while n < len(suffix):
+            on = places[self.words[places + n] == suffix[n]]  # 0, the end of a document, is no word
+            if not len(on):
+                break
+            n, places = n + 1, on
+        return n, places
 
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -299,7 +317,7 @@ def report(docs: DataFrame, benchmark: DataFrame, keys: list[str], **options) ->
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = _OPENING, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(item_id, item_word, n_words, doc_id, doc_word): for every test suffix
-    its longest verbatim match of ``least`` to DEPTH words in all documents.
+    its longest verbatim match of ``least`` words or more in all documents.
 
     Of equally long matches the one with the smallest document id and place.
     """
@@ -315,10 +333,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                     return
                 shard.build()
                 starts, rows = np.array(shard.starts), []
-                for s, n, place in shard.longest():
-                    if n >= least:
-                        d = int(np.searchsorted(starts, place, side="right")) - 1
-                        rows.append((items.names[items.suffixes[s][0]], items.suffixes[s][1], n, ids[d], place - int(starts[d])))
+                for s, n, places in shard.longest(least):
+                    at = np.searchsorted(starts, places, side="right") - 1
+                    d, word = min(zip(at.tolist(), (places - starts[at]).tolist()), key=lambda x: (ids[x[0]] is not None, ids[x[0]], x[1]))
+                    rows.append((items.names[items.suffixes[s][0]], items.suffixes[s][1], n, ids[d], word))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["item_id", "item_word", "n_words", "doc_id", "doc_word"])
 
