@@ -4,7 +4,8 @@ Counts of a segment are log-normal Poisson around one mean; its evidence is
 the Laplace approximation at the mode of (mu, log sigma). A random segment is
 split where a draw among candidates and staying whole says, or joined with its
 neighbour by a draw between two and one. All places are candidates of short
-segments; of long ones, places where sums to both sides differ most.
+segments; of long ones, places where sums to both sides differ most, and from
+each good one the places to its left and right as long as they are likely.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from strandline.operators.regression import LnpPrior, laplace_evidence, lnp_fit,
 
 EXHAUSTIVE = 150
 LEAST_SIDE = 2
+#: Places this much less likely than the best peak are not walked from or to;
+#: steps to a side, fewer in segments beyond a length.
+WALK_RANGE, WALK_STEPS, WALK_STEPS_LONG, WALK_LONG = 5.0, 15, 5, 25_000
 
 
 def spaced_peaks(x: np.ndarray, least: float, distance: int) -> np.ndarray:
@@ -72,13 +76,32 @@ class CoverageSegmentation:
         peaks = spaced_peaks(score, float(np.quantile(score, 0.98)), 3) + st + 1
         return peaks[(peaks >= inside[0]) & (peaks <= inside[-1])]
 
+    def scored(self, st: int, en: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places to split at and the evidence of each split."""
+        places = self.candidates(st, en)
+        found = {int(m): self.fit(st, m)[0] + self.fit(m, en)[0] for m in places}
+        if en - st >= EXHAUSTIVE and found:
+            least = max(found.values()) - WALK_RANGE
+            steps = WALK_STEPS_LONG if en - st > WALK_LONG else WALK_STEPS
+            for peak in [m for m, score in found.items() if score > least]:
+                for side in (-1, 1):
+                    for m in range(peak + side, peak + side * (steps + 1), side):
+                        if m in found or not st + LEAST_SIDE <= m <= en - LEAST_SIDE:
+                            break
+                        score = self.fit(st, m)[0] + self.fit(m, en)[0]
+                        if not score > least:
+                            break
+                        found[m] = score
+        places = np.array(sorted(found), dtype=int)
+        return places, np.array([found[int(m)] for m in places])
+
     def split(self, k: int, rng: np.random.Generator) -> None:
         edges = [0, *self.breaks, self.n]
         st, en = edges[k], edges[k + 1]
         if en - st < 2 * LEAST_SIDE:
             return
-        places = self.candidates(st, en)
-        scores = np.array([self.fit(st, m)[0] + self.fit(m, en)[0] for m in places] + [self.fit(st, en)[0]])
+        places, scores = self.scored(st, en)
+        scores = np.append(scores, self.fit(st, en)[0])
         # splits share the prior weight that staying has alone
         scores[:-1] -= math.log(max(len(places), 1))
         pick = int(np.searchsorted(np.cumsum(np.exp(scores - logsumexp(scores))), rng.random()))
