@@ -82,7 +82,7 @@ def coverage_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a priority by day as bins."""
     day = F.floor(micros("o_orderdate") / (86_400_000_000 * 30))
     bins = table(spark, sf_dir, "orders").groupBy("o_orderpriority", day.alias("place")).agg(F.count(F.lit(1)).alias("x"))
-    return coverage_mcmc.coverage_segments(bins, ["o_orderpriority"], "place", "x", [], [], iterations=20, draws=2)
+    return coverage_mcmc.coverage_segments(bins, ["o_orderpriority"], "place", "x", [], [])
 
 
 @query()
@@ -95,7 +95,7 @@ def coverage_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def copy_ratio_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = aggregates.deviations(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_suppkey"], "l_quantity")
-    return dirichlet.copy_ratio_clusters(parts, ["l_returnflag"], "l_suppkey", "n", "mean", "ssd", iterations=300)
+    return dirichlet.copy_ratio_clusters(parts, ["l_returnflag"], "l_suppkey", "n", "mean", "ssd")
 
 
 @query("""
