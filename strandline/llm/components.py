@@ -1,9 +1,13 @@
 """Connected components of a graph whose edges are rows.
 
-Edges are first contracted inside each partition by union-find, then by
-alternating large-star and small-star steps, which need a number of rounds
-that grows with the logarithm of the graph. Minima are partial sums before
-they are shuffled. Each round is written to the shared folder.
+Edges are contracted by union-find inside each partition, sent to the
+partition of their larger node and contracted again there. Then rounds of
+pointer jumping follow: each node takes the root of its root, which halves
+the depth, and nodes that two partitions tied to different roots tie those.
+After a contraction a node has one row at most in each partition, so no node
+gathers its whole component; the join that jumps has the nodes on one side
+once or a few times and was written down before, so that Spark splits the
+rows of a very large component. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -39,6 +43,9 @@ class Forest:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
+    kind = dict(edges.dtypes)["a"]
+    node = pa.binary() if kind == "binary" else pa.int64()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for batch in batches:
@@ -47,32 +54,30 @@ def _contracted(edges: DataFrame) -> DataFrame:
         nodes = list(forest.up)
         for at in range(0, len(nodes), 50_000):
             part = nodes[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([forest.root(x) for x in part], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, node), pa.array([forest.root(x) for x in part], node)], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours are tied to the smallest of them and itself."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    out = both.join(least, "a")
-    moved = out.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    if not large:
-        moved = out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a != b").distinct()
+def _met(edges: DataFrame) -> DataFrame:
+    """Contracted before the rows are sent out by node, and after."""
+    return _contracted(_contracted(edges).repartition("a"))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b: bigint) that is no root.
+    """(node, root) of every node of ``edges`` (a, b: bigint or binary) that
+    is no root.
 
-    The root is the smallest node of its component. Loops and repeated edges
-    do no harm; no edges give no rows.
+    The root is the smallest node of its component. Loops, repeated edges and
+    nulls do no harm; no edges give no rows.
     """
-    now = stored(_contracted(edges.filter("a != b")), name)
+    now = stored(_met(edges.filter("a != b")), name)
     digest = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = None
-    while (seen := digest(now)) != before and seen[0]:
-        before = seen
-        now = stored(_step(_step(now, True), False), name)
+    seen = digest(now)
+    while seen[0]:
+        up = now.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jumped = now.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+        now, before = stored(_met(jumped), name), seen
+        if (seen := digest(now)) == before:
+            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,17 +7,25 @@ n - ceil(t n) + 1 of each. The order comes from a table of counts over hashed
 n-grams of all documents; collisions in it cost speed, never a link, as any
 total order is right.
 
-1. Equal sets are one class; classes are named by a hash of their set.
+1. Equal sets are one class; classes are named by a 128-bit digest of their
+   set. N-grams are 64-bit hashes; two of them would have to collide within
+   one pair of sets to change a similarity.
 2. Prefix n-grams meet: among the classes of one n-gram, in order of size,
    neighbours within the length filter are tied. A tie is a candidate for a
-   link; what links is tied, over some neighbours.
+   link; what links is tied, over some neighbours. An n-gram that only one
+   set holds is not sent; a very frequent one is salted, and the first class
+   of each size of each salt ties the salts together.
 3. Tied classes form blocks (connected components). Links do not leave a
    block, so a block's texts come together and are joined there in memory by
    prefix, length, positional and suffix filters, in an order by the counts
    of the block, each pair verified at most once and not at all if both are
-   known to be in one component. Blocks beyond a size are cut into pieces
-   by size of set and each two pieces within the length filter meet.
-4. The links found, a forest in each block, give the components.
+   known to be in one component. A block beyond a size is cut into pieces by
+   size of set, and a sample of the block (``pivots``) joins every piece.
+4. The links found, a forest in each piece, give components. In a block of
+   several pieces those outside its largest component meet all pieces within
+   the length filter; classes of the largest one are not compared with each
+   other again, so a block that is one great group of near copies costs its
+   size and not the square of it.
 
 No pair of equal texts is ever made, and candidates are linear in the rows
 of an n-gram.
@@ -26,7 +34,7 @@ of an n-gram.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +52,19 @@ WIDTH, PERCENT = 4, 85
 #: Counters of the table of n-gram counts, as a power of two. Its size is
 #: fixed, a byte a counter where it is broadcast; it sets the order alone.
 COUNTER_BITS = 24
-_SLICES = 64
-#: Bytes of text in a piece of a block.
-PIECE_BYTES = 4 << 20
+_SLICES = 512
+#: Bytes of text in a piece of a block, and the share of them that pivots add.
+PIECE_BYTES, PIVOTS = 4 << 20, 0.25
+#: Classes of an n-gram, by its counter, for each salt.
+SALT = 20_000
 
 
 def set_of(data: bytes, width: int = WIDTH) -> np.ndarray:
     return shingle_set(word_hashes(data.lower()), width)
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def class_of(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def classes(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
@@ -67,21 +77,27 @@ def classes(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFram
 
         return of
 
-    return map_texts(docs, keys, text, make, [("__n", pa.int64(), "bigint"), ("__class", pa.int64(), "bigint")])
+    return map_texts(docs, keys, text, make, [("__n", pa.int64(), "bigint"), ("__class", pa.binary(), "binary")])
 
 
 # -- the order of n-grams ----------------------------------------------------------
 
 
 def _codes(counts: np.ndarray) -> np.ndarray:
-    """A byte for each count: exact to 127, then an eighth of an octave."""
-    fine = 128 + 8 * (np.log2(np.maximum(counts, 128)) - 7)
+    """A byte for each count: exact to 127, then a quarter of an octave."""
+    fine = 128 + 4 * (np.log2(np.maximum(counts, 128)) - 7)
     return np.where(counts < 128, counts, np.minimum(fine, 255)).astype(np.uint8)
 
 
+#: About the count that each code stands for.
+_COUNTS = np.where(np.arange(256) < 128, np.arange(256), 2.0 ** (7 + (np.arange(256) - 128) / 4))
+
+
 def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) -> np.ndarray:
     """Codes of the number of sets that hold an n-gram, by its upper bits."""
 
+    slices = min(_SLICES, 1 << bits)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = np.zeros(1 << bits, dtype=np.uint16), [], 0
 
@@ -101,8 +117,8 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) ->
                     add()
         add()
         if table.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in table.reshape(_SLICES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(parts)], names=["part", "counts"])
+            parts = [zlib.compress(x.tobytes(), 1) for x in table.reshape(slices, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts)], names=["part", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -113,8 +129,8 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) ->
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()])], names=["part", "counts"])
 
     kind = "part int, counts binary"
-    found = docs.select(text).mapInArrow(tidy(count), kind).repartition(_SLICES, "part").mapInArrow(tidy(total), kind).collect()
-    table = np.zeros((_SLICES, (1 << bits) // _SLICES), dtype=np.uint8)
+    found = docs.select(text).mapInArrow(tidy(count), kind).repartition("part").mapInArrow(tidy(total), kind).toLocalIterator()
+    table = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8)
     for row in found:
         table[row.part] = np.frombuffer(row.counts, dtype=np.uint8)
     return table.ravel()
@@ -131,26 +147,34 @@ def _ties(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen = table.value, set()
         for batch in batches:
-            tokens, names, sizes, counts = [], [], [], []
+            tokens, names, sizes, counts, salts = [], [], [], [], []
             for data in encoded(batch.column(0)):
                 s = set_of(data, width)
                 if not len(s) or (name := class_of(s)) in seen:
                     continue
                 seen.add(name)
                 own = codes[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                p = prefix_length(len(s), percent)
-                tokens.append(s[np.argsort(own, kind="stable")[:p]])
+                prefix = np.argsort(own, kind="stable")[: prefix_length(len(s), percent)]
+                prefix = prefix[own[prefix] > 1]  # one that no other document has meets nothing
+                dealt = 1 + (_COUNTS[own[prefix]] / SALT).astype(np.int64)
+                tokens.append(s[prefix])
                 names.append(name)
                 sizes.append(len(s))
-                counts.append(p)
+                counts.append(len(prefix))
+                salts.append(np.where(dealt > 1, 1 + int.from_bytes(name[:7], "little") % dealt, 0))
             if tokens:
-                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(names, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "name", "n"])
-
-    rows = docs.select(text).mapInArrow(tidy(run), "token bigint, name bigint, n int")
-    w = Window.partitionBy("token").orderBy("n", "name")
-    near = rows.select("name", "n", F.lag("name").over(w).alias("a"), F.lag("n").over(w).alias("m"))
-    tied = near.filter((F.col("a") != F.col("name")) & (100 * F.col("m").cast("long") >= percent * F.col("n").cast("long")))
+                at = pa.array(np.repeat(np.arange(len(names)), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(names, pa.binary()).take(at), pa.array(sizes, pa.int32()).take(at)], names=["token", "salt", "name", "n"])
+
+    rows = docs.select(text).mapInArrow(tidy(run), "token bigint, salt int, name binary, n int")
+    before = Window.partitionBy("token", "salt").orderBy("n", "name")
+    near = rows.select("*", F.lag("name").over(before).alias("a"), F.lag("n").over(before).alias("m"))
+    # each size's first class of each salt, in one order over all salts
+    heads = near.filter((F.col("salt") > 0) & (F.col("m").isNull() | (F.col("m") < F.col("n")))).select("token", "n", "name")
+    across = Window.partitionBy("token").orderBy("n", "name")
+    heads = heads.select("name", "n", F.lag("name").over(across).alias("a"), F.lag("n").over(across).alias("m"))
+    tied = near.select(*heads.columns).union(heads)
+    tied = tied.filter((F.col("a") != F.col("name")) & (100 * F.col("m").cast("long") >= percent * F.col("n").cast("long")))
     return tied.select("a", F.col("name").alias("b")).distinct()
 
 
@@ -176,14 +200,17 @@ def _apart(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
     return left + _apart(x[middle + 1 :], rest, most - left - (not meets), depth - 1) + (not meets)
 
 
-def link(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
+def link(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None, allowed: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Component label of each set (its smallest member's place).
 
-    With ``side``, pairs of one side are left to others.
+    ``known``: labels to start from. ``allowed``: of a set and others, which
+    pairs are to be verified here; the rest are left to other tasks.
     """
     count = len(sets)
-    label = np.arange(count)
-    members = {k: [k] for k in range(count)}
+    label = np.arange(count) if known is None else known.copy()
+    members: dict[int, list[int]] = {}
+    for k, root in enumerate(label.tolist()):
+        members.setdefault(root, []).append(k)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(values), dtype=np.int64)
@@ -207,8 +234,8 @@ def link(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -
             m = sizes[ys]
             least = -(-percent * (n + m) // (100 + percent))
             keep = (100 * m >= percent * n) & (1 + np.minimum(n - i[first] - 1, m - j[first] - 1) >= least) & (label[ys] != label[x])
-            if side is not None:
-                keep &= side[ys] != side[x]
+            if allowed is not None:
+                keep &= allowed(x, ys)
             at = np.flatnonzero(keep)
             for k in at[np.argsort(-hits[at], kind="stable")].tolist():
                 y = int(ys[k])
@@ -230,33 +257,56 @@ def link(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -
 
 
 def _joined(pieces: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): classes linked, a forest for each task (block and two pieces)."""
+    """(a, b): classes linked, a forest for each task.
+
+    pieces: (block, first, second, name, root, piece, outside, text). Without
+    ``second`` all rows of a task meet. With it, they are the classes of the
+    piece ``second`` and some of those outside the block's largest component,
+    which meet them; ``root`` is the component known so far. Two outside are
+    left to the task of the later piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                names = sorted(held)
-                side = np.array([held[c][0] for c in names])
-                label = link([held[c][1] for c in names], percent, None if (side == side[0]).all() else side)
-                moved = np.flatnonzero(label != np.arange(len(names)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in moved], pa.int64()), pa.array([names[label[k]] for k in moved], pa.int64())], names=["a", "b"])
+            if len(held) < 2:
+                held.clear()
+                return
+            names = sorted(held)
+            if task[2] is None:
+                label = link([held[c][0] for c in names], percent)
+                start = np.arange(len(names))
+            else:
+                first: dict[bytes, int] = {}
+                start = np.array([first.setdefault(held[c][1], k) for k, c in enumerate(names)])
+                piece, outside = np.array([held[c][2] for c in names]), np.array([held[c][3] for c in names])
+                inner = piece == task[2]
+
+                def allowed(x: int, ys: np.ndarray) -> np.ndarray:
+                    if inner[x]:
+                        return ~inner[ys] & (piece[ys] < task[2] if outside[x] else True)
+                    return inner[ys] & (~outside[ys] | (piece[x] < task[2]))
+
+                label = link([held[c][0] for c in names], percent, start, allowed)
+            moved = np.unique(start[label != start])
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in moved], pa.binary()), pa.array([names[label[k]] for k in moved], pa.binary())], names=["a", "b"])
             held.clear()
 
         for batch in batches:
-            block, first, second, piece, name = (c.to_pylist() for c in batch.columns[:5])
-            for k, data in enumerate(encoded(batch.column(5))):
+            block, first, second, name, root, piece, outside = (c.to_pylist() for c in batch.columns[:7])
+            for k, data in enumerate(encoded(batch.column(7))):
                 if (block[k], first[k], second[k]) != task:
                     yield from flush()
                     task = (block[k], first[k], second[k])
                 if name[k] not in held:
-                    held[name[k]] = (piece[k], set_of(data, width))
+                    held[name[k]] = (set_of(data, width), root[k], piece[k], outside[k])
         yield from flush()
 
     order = ["block", "first", "second"]
-    return pieces.select(*order, "piece", "name", "text").repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "a bigint, b bigint")
+    rows = pieces.select(*order, "name", "root", "piece", "outside", "text")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _texts(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -272,9 +322,58 @@ def _texts(docs: DataFrame, text: str, width: int) -> DataFrame:
                     seen.add(name)
                     names.append(name)
                     at.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0).take(pa.array(at, pa.int64()))], names=["name", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column(0).take(pa.array(at, pa.int64()))], names=["name", "text"])
 
-    return docs.select(text).mapInArrow(tidy(run), "name bigint, text string")
+    return docs.select(text).mapInArrow(tidy(run), "name binary, text string")
+
+
+def _pieces(blocks: DataFrame, piece_bytes: int) -> tuple[DataFrame, bool]:
+    """(name, n, block, bytes) with ``piece`` and ``pieces``, and whether any
+    block has several.
+
+    Pieces take classes in order of size: bytes are summed by size, and the
+    classes of a size that reaches over several pieces are dealt out by name.
+    """
+    total = blocks.groupBy("block").agg(F.sum("bytes").alias("total")).filter(F.col("total") > piece_bytes)
+    sizes = blocks.join(total, "block").groupBy("block", "n").agg(F.sum("bytes").alias("own"), F.max("total").alias("total"))
+    upto = F.sum("own").over(Window.partitionBy("block").orderBy("n"))
+    place = lambda at: F.floor(at / piece_bytes).cast("int")
+    cut = sizes.select("block", "n", place(upto - F.col("own")).alias("low"), place(upto - 1).alias("high"), (place(F.col("total") - 1) + 1).alias("count"))
+    # written down, so that the join below can be split where one size of a block has very many classes
+    cut = stored(cut, "jaccard-sizes")
+    if cut.isEmpty():
+        return blocks.withColumns({"piece": F.lit(0), "pieces": F.lit(1)}), False
+    dealt = F.col("low") + F.pmod(F.xxhash64("name"), (F.col("high") - F.col("low") + 1).cast("long")).cast("int")
+    return blocks.join(cut, ["block", "n"], "left").select(*blocks.columns, F.coalesce(dealt, F.lit(0)).alias("piece"), F.coalesce("count", F.lit(1)).alias("pieces")), True
+
+
+def _meetings(found: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int, piece_bytes: int) -> DataFrame | None:
+    """(a, b): links between the pieces of blocks; None where no class lies
+    outside the largest component of its block.
+
+    found: the classes of blocks of several pieces; links: components within
+    the pieces.
+    """
+    rooted = stored(found.join(links.toDF("name", "root"), "name", "left").withColumn("root", F.coalesce("root", "name")), "jaccard-rooted")
+    largest = rooted.groupBy("block", "root").agg(F.count(F.lit(1)).alias("count")).groupBy("block").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
+    largest = stored(largest, "jaccard-largest")
+    rooted = rooted.join(largest, "block").withColumn("outside", F.col("root") != F.col("largest")).drop("largest")
+    spans = rooted.groupBy("block", "piece", "pieces").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum(F.when(F.col("outside"), F.col("bytes"))).alias("out"), F.min(F.when(F.col("outside"), F.col("n"))).alias("out_low"), F.max(F.when(F.col("outside"), F.col("n"))).alias("out_high"))
+    spans = stored(spans, "jaccard-spans")
+    # those outside, in order of size, make as many lots as they have bytes of pieces
+    outer = spans.filter("out > 0").withColumn("upto", F.sum("out").over(Window.partitionBy("block").orderBy("piece")))
+    outer = outer.select("block", "piece", F.floor((F.col("upto") - F.col("out")) / piece_bytes).cast("int").alias("lot"), "out_low", "out_high")
+    outer = stored(outer, "jaccard-outside")
+    if outer.isEmpty():
+        return None
+    lots = outer.groupBy("block", F.col("lot").alias("first")).agg(F.min("out_low").alias("out_low"), F.max("out_high").alias("out_high"))
+    near = (100 * F.col("out_high") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("out_low"))
+    meet = stored(spans.select("block", F.col("piece").alias("second"), "low", "high").join(lots, "block").filter(near).select("block", "first", "second"), "jaccard-meetings")
+    inner = rooted.join(meet.withColumn("piece", F.col("second")), ["block", "piece"])
+    others = rooted.filter("outside").join(outer.select("block", "piece", F.col("lot").alias("first")), ["block", "piece"]).join(meet, ["block", "first"])
+    columns = ["block", "first", "second", "name", "root", "piece", "outside"]
+    tasks = inner.select(*columns).union(others.select(*columns))
+    return _joined(tasks.join(texts, "name"), width, percent)
 
 
 def linked_classes(docs: DataFrame, known: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, counter_bits: int = COUNTER_BITS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -283,19 +382,22 @@ def linked_classes(docs: DataFrame, known: DataFrame, text: str = "text", width:
     ``known``: ``classes`` of the documents.
     """
     ties = components(_ties(docs, text, width, percent, counter_bits), "jaccard-ties")
-    blocks = ties.union(ties.select("root", "root")).distinct().toDF("name", "block")
+    blocks = ties.union(ties.select("root", "root").distinct()).toDF("name", "block")
     sizes = known.groupBy(F.col("__class").alias("name")).agg(F.max("__n").alias("n"))
-    placed = blocks.join(sizes, "name")
-    # a word is about seven bytes; pieces take classes in order of size
-    upto = F.sum(7 * F.col("n") + 64).over(Window.partitionBy("block").orderBy("n", "name").rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumn("piece", F.floor(F.coalesce(upto, F.lit(0)) / piece_bytes).cast("int"))
-    spans = placed.groupBy("block", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = spans.select("block", F.col("piece").alias("second"), F.col("low").alias("next"))
-    meet = spans.join(other, "block").filter((F.col("piece") <= F.col("second")) & ((F.col("piece") == F.col("second")) | (100 * F.col("high") >= percent * F.col("next"))))
-    meet = meet.select("block", F.col("piece").alias("first"), "second")
-    tasks = meet.select("*", F.explode(F.array_distinct(F.array("first", "second"))).alias("piece"))
-    rows = placed.select("name", "block", "piece").join(_texts(docs, text, width), "name")
-    return components(_joined(rows.join(tasks, ["block", "piece"]), width, percent), "jaccard-links")
+    # a word is about seven bytes
+    blocks = stored(blocks.join(sizes, "name").withColumn("bytes", 7 * F.col("n") + 64), "jaccard-blocks")
+    placed, several = _pieces(blocks, piece_bytes)
+    texts = _texts(docs, text, width)
+    first = F.array("piece")
+    if several:
+        spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "name"), n)
+        pivot = (F.col("pieces") > 1) & (spread(1, F.col("pieces").cast("long")) == 0) & (spread(2, F.lit(1 << 20)) < int(PIVOTS * (1 << 20)))
+        first = F.when(pivot, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(first)
+    tasks = placed.select("block", F.explode(first).alias("first"), F.lit(None).cast("int").alias("second"), "name", F.lit(None).cast("binary").alias("root"), "piece", F.lit(False).alias("outside"))
+    links = components(_joined(tasks.join(texts, "name"), width, percent), "jaccard-links")
+    if several and (more := _meetings(placed.filter("pieces > 1"), links, texts, width, percent, piece_bytes)) is not None:
+        links = components(links.toDF("a", "b").union(more), "jaccard-meetings")
+    return links
 
 
 def grouped(docs: DataFrame, keys: list[str], key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -311,8 +413,9 @@ def grouped(docs: DataFrame, keys: list[str], key: str = "doc_id", text: str = "
     filled = known.filter("__n > 0")
     roots = linked_classes(docs, filled, text, width=width, percent=percent, **{k: v for k, v in options.items() if k not in ("width", "percent")})
     names = filled.groupBy("__class").agg(F.min(key).alias("least"))
-    names = names.join(roots.withColumnRenamed("node", "__class"), "__class", "left").withColumn("root", F.coalesce("root", "__class"))
-    least = names.groupBy("root").agg(F.min("least").alias("__component"))
+    names = stored(names.join(roots.withColumnRenamed("node", "__class"), "__class", "left").withColumn("root", F.coalesce("root", "__class")), "jaccard-names")
+    # written down, so that Spark can split a component with very many classes
+    least = stored(names.groupBy("root").agg(F.min("least").alias("__component")), "jaccard-least")
     names = names.join(least, "root").select("__class", "__component")
     out = known.withColumn("__class", F.when(F.col("__n") > 0, F.col("__class"))).join(names, "__class", "left")
     return out.select(*keys, F.col("__n").alias("n_shingles"), F.when(F.col("__n") > 0, F.col("__component")).otherwise(F.col(key)).alias("component_id"))
