@@ -21,27 +21,30 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 _RATES = quality_rules.RATES
-_LEAST = quality_rules.LEAST
-_CASES = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rate, {s} * {a} // {b} AS v, {_LEAST[k]} AS least FROM counted WHERE NOT base_failed" for k, (a, b, s) in _RATES.items())
+_CASES = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS rate, {r.sparse} AS sparse, {r.scale} * {r.numerator} // {r.denominator} AS v FROM counted WHERE NOT base_failed" for k, r in _RATES.items())
 
 QUALITY = rf"""
-WITH cut AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+WITH cut AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM cut WHERE len(w) >= 8))),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM windows WHERE n > 1) GROUP BY 1),
 measured AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, ((length(text) - length(replace(text, '!!', ''))) // 2)::BIGINT AS n_exclaims
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g'))::BIGINT AS n_marks
   FROM cut LEFT JOIN repeats USING (doc_id)),
 counted AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured),
 rated AS ({_CASES}),
-celled AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS cell FROM rated),
-groups AS (SELECT lang || '/' || source AS g, * FROM celled UNION ALL SELECT lang, * FROM celled UNION ALL SELECT '', * FROM celled),
-ranked AS (SELECT g, rate, least, cell, row_number() OVER (PARTITION BY g, rate ORDER BY cell) AS k, count(*) OVER (PARTITION BY g, rate) AS n FROM groups),
-quart AS (SELECT g, rate, any_value(least) AS least, any_value(n) AS n, min(cell) FILTER (100 * k >= 25 * n) AS q1, min(cell) FILTER (100 * k >= 50 * n) AS q2, min(cell) FILTER (100 * k >= 75 * n) AS q3 FROM ranked GROUP BY 1, 2),
-fence AS (SELECT g, rate, n, least(q1 - 6 * (q3 - q1), q2 - least) AS low, greatest(q3 + 6 * (q3 - q1), q2 + least) AS high FROM quart),
-judged AS (SELECT r.doc_id, bool_and(r.v BETWEEN f.low AND f.high) AS inside FROM rated r
-  JOIN fence a ON a.g = r.lang || '/' || r.source AND a.rate = r.rate JOIN fence b ON b.g = r.lang AND b.rate = r.rate
-  JOIN fence f ON f.rate = r.rate AND f.g = CASE WHEN a.n >= 200 THEN a.g WHEN b.n >= 200 THEN b.g ELSE '' END GROUP BY 1)
+celled AS (SELECT *, CASE WHEN v < 256 THEN v ELSE (v >> (length(bin(v)) - 8)) << (length(bin(v)) - 8) END AS cell FROM rated),
+pooled AS (SELECT lang, source, rate, cell FROM celled WHERE v > 0 OR NOT sparse),
+placed AS (SELECT 0 AS lvl, lang, source, rate, cell FROM pooled UNION ALL SELECT 1, lang, NULL, rate, cell FROM pooled UNION ALL SELECT 2, NULL, NULL, rate, cell FROM pooled),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lvl, lang, source, rate ORDER BY cell) AS k, count(*) OVER (PARTITION BY lvl, lang, source, rate) AS n FROM placed),
+quart AS (SELECT lvl, lang, source, rate, any_value(n) AS n, min(cell) FILTER (4 * k >= n) AS q1, min(cell) FILTER (4 * k >= 3 * n) AS q3 FROM ranked GROUP BY ALL),
+langs AS (SELECT b.lang, a.rate, (coalesce(c.n * c.q1, 0) + 200 * a.q1) // (coalesce(c.n, 0) + 200) AS q1, (coalesce(c.n * c.q3, 0) + 200 * a.q3) // (coalesce(c.n, 0) + 200) AS q3
+  FROM quart a JOIN (SELECT DISTINCT lang FROM rated) b ON a.lvl = 2 LEFT JOIN quart c ON c.lvl = 1 AND c.lang = b.lang AND c.rate = a.rate),
+sources AS (SELECT b.lang, b.source, a.rate, (coalesce(c.n * c.q1, 0) + 200 * a.q1) // (coalesce(c.n, 0) + 200) AS q1, (coalesce(c.n * c.q3, 0) + 200 * a.q3) // (coalesce(c.n, 0) + 200) AS q3
+  FROM langs a JOIN (SELECT DISTINCT lang, source FROM rated) b ON b.lang = a.lang LEFT JOIN quart c ON c.lvl = 0 AND c.lang = b.lang AND c.source = b.source AND c.rate = a.rate),
+fence AS (SELECT lang, source, rate, q1 - 3 * (q3 - q1) AS low, q3 + 3 * (q3 - q1) AS high FROM sources),
+judged AS (SELECT r.doc_id, bool_and(coalesce(CASE WHEN r.sparse THEN r.v = 0 OR r.cell <= f.high ELSE r.cell BETWEEN f.low AND f.high END, TRUE)) AS inside
+  FROM celled r LEFT JOIN fence f ON f.lang = r.lang AND f.source = r.source AND f.rate = r.rate GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN FALSE ELSE inside END AS kept FROM counted LEFT JOIN judged USING (doc_id)
 """
 
