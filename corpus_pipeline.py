@@ -21,44 +21,79 @@ from strandline.llm.shared import stored
 #: defaults are those of the op10 query.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
+#: The columns of ``documents`` that stages work with.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns beside OWN renamed c0, c1, ..., so that none has
+    the name of a working column; ``toDF(*docs.columns)`` names them back."""
+    return docs.toDF(*[c if c in OWN else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their group's thresholds."""
-    judged = quality_rules.judge(quality_rules.measures(docs, docs.columns))
-    return judged.filter("kept").select(*docs.columns)
+    """Documents that pass the base rules and their group's thresholds.
+
+    Null and empty texts have no words and go. Null languages and sources are
+    groups of their own. Equal rows are judged alike; rows with equal ids
+    each by their own text. Texts may have any length. An empty table stays
+    empty. Columns of any name pass through.
+    """
+    rows = _aside(docs)
+    judged = quality_rules.judge(quality_rules.measures(rows, rows.columns))
+    return judged.filter("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest doc_id.
 
     Null ids count as the smallest, and of rows with equal ids one stays.
-    Documents without words all stay. Rows are told apart by their place in
-    the stage's input files.
+    Documents without words, null texts among them, all stay. Texts may have
+    any length. An empty table stays empty. Columns of any name pass through.
+    Rows are numbered once, in a table that is written down.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(38,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("__row")
-    keyed = placed.select("__row", order.cast("decimal(38,0)").alias("__order"), "text")
-    groups = jaccard_join.grouped(keyed, ["__row", "__order"], key="__order", width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    first = groups.filter((F.col("component_id") == F.col("__order")) | (F.col("n_shingles") == 0)).select("__row")
-    return placed.join(first.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
+    rows = _aside(docs)
+    placed = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(38,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("row")
+    keyed = placed.select("row", order.cast("decimal(38,0)").alias("order"), "text")
+    groups = jaccard_join.grouped(keyed, ["row", "order"], key="order", width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    first = groups.filter((F.col("component_id") == F.col("order")) | (F.col("n_shingles") == 0)).select("row")
+    return placed.join(first.hint("shuffle_hash"), "row", "left_semi").select(*rows.columns).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of ten words with a benchmark item."""
-    return decontamination.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+    """Documents that share no window of ten words with a benchmark item.
+
+    Documents without words, null texts among them, all stay, and so do all
+    where no item has a word. Rows are judged one by one, so repeated rows
+    and ids are alike. Texts may have any length. An empty table stays empty.
+    Columns of any name pass through.
+    """
+    return decontamination.decontaminated(_aside(docs), read(spark, sf_dir, "benchmark")).toDF(*docs.columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced in the texts; n_chars follows a changed text."""
-    out = pseudonyms.pseudonymise(docs.withColumn("__before", F.col("text")), PSEUDONYM_KEY)
-    changed = F.when(F.col("text") != F.col("__before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", changed).select(*docs.columns)
+    """Personal values replaced in the texts; n_chars follows a changed text.
+
+    Null and empty texts stay as they are, with their n_chars. Rows are
+    changed one by one, equal texts alike. Texts may have any length. An
+    empty table stays empty. Columns of any name pass through.
+    """
+    rows = _aside(docs)
+    out = pseudonyms.pseudonymise(rows.withColumn("before", F.col("text")), PSEUDONYM_KEY)
+    changed = F.when(F.col("text") != F.col("before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*rows.columns).toDF(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and their decoding."""
+    """Token ids of each document, with digests of the ids and their decoding.
+
+    Null texts are empty and have no ids. Every row gives a row, repeated
+    ones too. Texts may have any length. An empty table gives an empty table.
+    Columns other than doc_id, lang and source are left out.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(docs, ["doc_id", "lang", "source"], path, public_tokenizers.PATTERN)
 
