@@ -12,9 +12,8 @@ total order is right.
    one pair of sets to change a similarity.
 2. Prefix n-grams meet: among the classes of one n-gram, in order of size,
    neighbours within the length filter are tied. A tie is a candidate for a
-   link; what links is tied, over some neighbours. An n-gram that only one
-   set holds is not sent; a very frequent one is salted, and the first class
-   of each size of each salt ties the salts together.
+   link; what links is tied, over some neighbours. A very frequent n-gram is
+   salted, and the first class of each size of each salt ties the salts.
 3. Tied classes form blocks (connected components). Links do not leave a
    block, so a block's texts come together and are joined there in memory by
    prefix, length, positional and suffix filters, in an order by the counts
@@ -155,7 +154,6 @@ def _ties(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> Da
                 seen.add(name)
                 own = codes[(s >> np.uint64(64 - bits)).astype(np.int64)]
                 prefix = np.argsort(own, kind="stable")[: prefix_length(len(s), percent)]
-                prefix = prefix[own[prefix] > 1]  # one that no other document has meets nothing
                 dealt = 1 + (_COUNTS[own[prefix]] / SALT).astype(np.int64)
                 tokens.append(s[prefix])
                 names.append(name)
@@ -169,8 +167,9 @@ def _ties(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> Da
     rows = docs.select(text).mapInArrow(tidy(run), "token bigint, salt int, name binary, n int")
     before = Window.partitionBy("token", "salt").orderBy("n", "name")
     near = rows.select("*", F.lag("name").over(before).alias("a"), F.lag("n").over(before).alias("m"))
-    # each size's first class of each salt, in one order over all salts
-    heads = near.filter((F.col("salt") > 0) & (F.col("m").isNull() | (F.col("m") < F.col("n")))).select("token", "n", "name")
+    # each size's first class of each salt, in one order over all salts; one
+    # product, as a condition on the salt alone would make a second pass
+    heads = near.filter(F.coalesce("salt", F.lit(0)) * F.when(F.col("m").isNull() | (F.col("m") < F.col("n")), 1).otherwise(0) > 0).select("token", "n", "name")
     across = Window.partitionBy("token").orderBy("n", "name")
     heads = heads.select("name", "n", F.lag("name").over(across).alias("a"), F.lag("n").over(across).alias("m"))
     tied = near.select(*heads.columns).union(heads)
