@@ -4,7 +4,8 @@ A gear hash rolls over the bytes of a text and depends on the last 16 of
 them; a chunk ends where its upper bits are zero, so an insertion moves the
 ends near it only and equal passages fall into equal chunks wherever they
 stand. Chunks go by a 128-bit digest: of those found more than once, the
-first stays (smallest document id, then place), the others are removed.
+first stays (smallest document id, then place), the others are removed. Rows
+are told apart by their place in the files, not by their ids.
 
 Repeated chunks that follow each other form a run. Every run goes, however
 short; ``min_run`` spares shorter ones where a caller asks for it.
@@ -22,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.batches import encoded, small_batches, tidy
+from strandline.llm.shared import named_rows, stored
 from strandline.llm.textkit import mix64, runs
 
 #: Bytes of a chunk: least, most; ends one in 2**END_BITS after the least.
@@ -79,45 +81,45 @@ def _digests(data: bytes, ends: list[int]) -> list[bytes]:
     return out
 
 
-def _row(key: str, text: str) -> list[Column]:
-    """What names a document: its id and 32 bits of its text."""
-    return [F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("__text")]
-
-
-def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(__id, __text, place, high, low): the chunks of each document, a digest
-    once for a document."""
+def chunks(rows: DataFrame) -> DataFrame:
+    """(__file, __row, __id, place, high, low): the chunks of each document, a
+    digest once for a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, places, digests = [], [], []
-            for data in encoded(batch.column(2)):
+            for data in encoded(batch.column(3)):
                 first: dict[bytes, int] = {}
                 for k, d in enumerate(_digests(data, chunk_ends(data))):
                     first.setdefault(d, k)
                 counts.append(len(first))
                 places.extend(first.values())
                 digests.extend(first)
-            at = np.repeat(np.arange(batch.num_rows), counts)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["__id", "__text", "place", "high", "low"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(3)], pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["__file", "__row", "__id", "place", "high", "low"])
 
-    return docs.select(*_row(key, text), text).mapInArrow(tidy(run), "__id bigint, __text int, place int, high bigint, low bigint")
+    return rows.select("__file", "__row", "__id", "__data").mapInArrow(tidy(run), "__file bigint, __row bigint, __id bigint, place int, high bigint, low bigint")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(key, text, n_bytes, n_chunks, n_repeated, n_removed, n_spans).
 
     ``text``: what is left. ``n_repeated``: bytes in runs of repeated chunks,
-    those that stay as the first included. Null texts are empty. Rows with
-    equal ids count as one document, whose chunks do not repeat each other;
-    null ids are one id, before all others. An empty table stays empty.
+    those that stay as the first included. Null texts are empty. Every row is
+    a document of its own, also where ids are equal or null: of rows with one
+    id, null being before all others, one keeps a chunk. Texts may be of any
+    length. Other columns of ``docs`` are not looked at, whatever their
+    names. An empty table stays empty.
     """
-    found = chunks(small_batches(docs), key, text)
-    repeated = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("first")).filter("n > 1").drop("n")
-    places = found.join(repeated, ["high", "low"]).select("__id", "__text", F.when(F.col("__id") == F.col("first"), -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
-    lists = places.groupBy("__id", "__text").agg(F.collect_list("place").alias("places"))
-    rows = docs.select(*_row(key, text), F.col(key).alias("__key"), F.col(text).alias("__data")).join(lists.hint("shuffle_hash"), ["__id", "__text"], "left")
+    rows = named_rows(small_batches(docs), __id=F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), __key=F.col(key), __data=F.col(text))
+    found = chunks(rows).withColumn("name", F.xxhash64("__file", "__row"))
+    repeated = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "__id").alias("first")).filter("n > 1").drop("n")
+    # written down: a join of two shuffled tables, whose very large keys Spark splits
+    repeated = stored(repeated, "chunk-repeated")
+    places = found.join(repeated, ["high", "low"]).select("__file", "__row", F.when(F.col("name") == F.col("first"), -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
+    lists = places.groupBy("__file", "__row").agg(F.collect_list("place").alias("places"))
+    met = rows.join(lists.hint("shuffle_hash"), ["__file", "__row"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +130,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_r
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[0], pa.string()), *[pa.array(x, pa.int64()) for x in made[1:]]], names=[key, text, "n_bytes", "n_chunks", "n_repeated", "n_removed", "n_spans"])
 
     kind = dict(docs.dtypes)[key]
-    return rows.select("__key", "__data", "places").mapInArrow(tidy(run), f"`{key}` {kind}, `{text}` string, n_bytes bigint, n_chunks bigint, n_repeated bigint, n_removed bigint, n_spans bigint")
+    return met.select("__key", "__data", "places").mapInArrow(tidy(run), f"`{key}` {kind}, `{text}` string, n_bytes bigint, n_chunks bigint, n_repeated bigint, n_removed bigint, n_spans bigint")
 
 
 def _long_runs(marked: np.ndarray, ends: np.ndarray, min_run: int) -> list[tuple[int, int]]:

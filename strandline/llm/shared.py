@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -27,3 +28,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _scanned(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of its files."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
+
+
+def named_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``columns`` of ``docs``, with ``__file`` and ``__row``, which name each
+    row alike in every scan: a hash of its file's path and its place there.
+
+    Where ``docs`` is more than a scan of files, the columns are written to
+    the shared folder first, and those files name the rows.
+    """
+    name = F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")
+    chosen = [c.alias(n) for n, c in columns.items()]
+    if _scanned(docs):
+        return docs.select(*name, *chosen)
+    return stored(docs.select(*chosen), "named-rows").select(*name, *columns)

@@ -69,6 +69,29 @@ def test_null_and_equal_ids_and_empty(spark):
     got = {(r.doc_id, r.n_bytes): r for r in chunk_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
     n = len(text)
     assert got[None, n].n_removed == 0 and got[4, n].n_removed == n and got[4, n].text == "" and got[2, 1].text == "y"
-    alone = chunk_dedup.deduplicated(spark.createDataFrame(rows[1:], SCHEMA)).agg(F.sum("n_removed")).first()[0]
-    assert alone == 0
+    alone = chunk_dedup.deduplicated(spark.createDataFrame(rows[1:3], SCHEMA)).collect()
+    assert sorted(r.n_removed for r in alone) == [0, n]  # equal ids are two documents, one keeps the text
     assert chunk_dedup.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_null_ids_share_no_identity(spark, tmp_path):
+    """Three equal rows without id and one that shares nothing, from rows and
+    from files, beside columns with the names of working columns."""
+    rng = random.Random(6)
+    one, other = (" ".join(rng.choice("abcdefgh") * 5 + str(rng.random()) for _ in range(30)) for _ in range(2))
+    rows = [(None, one, "n", "l", 0)] * 3 + [(None, other, None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"lang": "__row", "source": "__data"})
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        found = chunk_dedup.deduplicated(table).collect()
+        assert sorted(r.n_removed for r in found) == [0, 0, len(one), len(one)]
+        assert [r.text for r in found if r.n_bytes == len(other) and r.n_repeated == 0] == [other]
+
+
+def test_text_of_megabytes(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefghij ", k=3_000_000))
+    rows = [(1, text, None, None, 0), (2, "head " + text, None, None, 0)]
+    found = {r.doc_id: r for r in chunk_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[1].n_removed == 0 and found[1].text == text
+    assert len(text) - 1000 < found[2].n_removed <= len(text)
