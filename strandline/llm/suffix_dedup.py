@@ -18,7 +18,9 @@ that cannot repeat are left out first, without loss:
    with more than ``HOT`` classes has its strings dealt out one by one, by
    their own hash, so that no task holds all of it.
 
-K-mers and contexts are compared by 64-bit hashes, strings in step 3 as bytes.
+Whole contexts are compared by 128-bit digests, strings in step 3 as bytes; a
+collision of k-mers, which have 64 bits, brings more contexts together and
+changes nothing. Rows are told apart by their place in the files.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import suffix_sort
 from strandline.llm.batches import encoded, small_batches, tidy
-from strandline.llm.shared import stored
+from strandline.llm.shared import named_rows, stored
 from strandline.llm.textkit import mix64
 
 LENGTH = 200
@@ -96,18 +98,13 @@ def anchors(data: bytes, length: int, kmer: int) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _row(key: str, text: str) -> list[Column]:
-    """What names a document: its id and 32 bits of its text; and the text."""
-    return [F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__id"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("__text"), F.col(text).alias("__data")]
-
-
 def _anchor_rows(docs: DataFrame, length: int, kmer: int, located: bool) -> DataFrame:
     """(hash, context) of every anchor; with its document and place if asked."""
-    names = ["hash", "context"] + (["__id", "__text", "first", "span", "offset"] if located else [])
-    kinds = dict(hash="bigint", context="bigint", __id="bigint", __text="int", first="int", span="smallint", offset="smallint")
+    names = ["hash", "context", "context2"] + (["__file", "__row", "first", "span", "offset"] if located else [])
+    kinds = dict(hash="bigint", context="bigint", context2="bigint", __file="bigint", __row="bigint", first="int", span="smallint", offset="smallint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             hashes, contexts, counts, first, span, offset = [], [], [], [], [], []
             for data in encoded(batch.column(batch.num_columns - 1)):
@@ -115,29 +112,30 @@ def _anchor_rows(docs: DataFrame, length: int, kmer: int, located: bool) -> Data
                 counts.append(len(h))
                 if len(h):
                     hashes.append(h)
-                    contexts.append(np.fromiter((digest(data[x:y]) for x, y in zip(a.tolist(), (b + length).tolist())), dtype=np.uint64, count=len(h)) ^ mix64((place - a).astype(np.uint64)))
+                    whole = np.frombuffer(b"".join([digest(data[x:y]) for x, y in zip(a.tolist(), (b + length).tolist())]), dtype="<u8").reshape(-1, 2)
+                    contexts.append(whole ^ mix64((place - a).astype(np.uint64))[:, None])
                     first.append(a)
                     span.append(b - a)
                     offset.append(place - a)
             if not hashes:
                 continue
-            columns = [np.concatenate(hashes).view(np.int64), np.concatenate(contexts).view(np.int64)]
-            made = [pa.array(c) for c in columns]
+            both = np.concatenate(contexts).view(np.int64)
+            made = [pa.array(c) for c in (np.concatenate(hashes).view(np.int64), both[:, 0], both[:, 1])]
             if located:
                 at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
                 made += [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(first), pa.int32()), pa.array(np.concatenate(span), pa.int16()), pa.array(np.concatenate(offset), pa.int16())]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return (docs if located else docs.select("__data")).mapInArrow(tidy(run), ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return docs.select(*["__file", "__row"] * located, "__data").mapInArrow(tidy(run), ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
-_CONTEXT = "bucket bigint, hash bigint, data binary, offset smallint, single boolean, __id bigint, __text int, first int"
+_CONTEXT = "bucket bigint, hash bigint, data binary, offset smallint, single boolean, __file bigint, __row bigint, first int"
 
 
 def _contexts(rows: DataFrame, length: int, hot: int) -> DataFrame:
     """Bytes of the contexts that documents hold for their classes.
 
-    rows: (__id, __text, __data, wanted: array of first, span, offset, hash,
+    rows: (__file, __row, __data, wanted: array of first, span, offset, hash,
     single, classes).
     """
 
@@ -164,14 +162,14 @@ def _contexts(rows: DataFrame, length: int, hot: int) -> DataFrame:
                 yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int16(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "hash", "data", "offset", "single", "__id", "__text", "first"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int16(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "hash", "data", "offset", "single", "__file", "__row", "first"])
 
     return rows.mapInArrow(tidy(run), _CONTEXT)
 
 
 def _sorted_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """(__id, __text, start, stop): runs of bytes of single contexts that
+    """(__file, __row, start, stop): runs of bytes of single contexts that
     occur in another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +190,7 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
                 z = np.concatenate([a[1:], [len(again)]]) - 1
                 who = own[a]
                 base = np.array([h[5] for h in held])[who] - begin[who]
-                yield pa.RecordBatch.from_arrays([pa.array([held[k][3] for k in who], pa.int64()), pa.array([held[k][4] for k in who], pa.int32()), pa.array(again[a] + base, pa.int32()), pa.array(again[z] + base + length, pa.int32())], names=["__id", "__text", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array([held[k][3] for k in who], pa.int64()), pa.array([held[k][4] for k in who], pa.int64()), pa.array(again[a] + base, pa.int32()), pa.array(again[z] + base + length, pa.int32())], names=["__file", "__row", "start", "stop"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -205,30 +203,33 @@ def _sorted_blocks(contexts: DataFrame, length: int, block: int) -> DataFrame:
         if held:
             yield from flush()
 
-    rows = contexts.select("bucket", "data", "single", "__id", "__text", "first")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "__id bigint, __text int, start int, stop int")
+    rows = contexts.select("bucket", "data", "single", "__file", "__row", "first")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "__file bigint, __row bigint, start int, stop int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, block: int = BLOCK, hot: int = HOT) -> DataFrame:
-    """(__id, __text, start, stop): spans of repeated bytes, overlapping.
+    """(__file, __row, start, stop): spans of repeated bytes, overlapping.
 
-    ``docs``: (__id, __text, __data).
+    ``docs``: (__file, __row, __data).
     """
-    again = _anchor_rows(docs, length, kmer, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).filter("n > 1")
-    # written down, so that the join below shuffles both sides and Spark can
+    ends = [f(c).alias(n) for c in ("context", "context2") for f, n in ((F.min, f"low_{c}"), (F.max, f"high_{c}"))]
+    again = _anchor_rows(docs, length, kmer, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), *ends).filter("n > 1")
+    # written down, so that the joins below shuffle both sides and Spark can
     # split the rows of a k-mer that very many documents share
-    again = stored(again.select("hash", (F.col("low") != F.col("high")).alias("mixed")), "suffix-repeated")
+    mixed = (F.col("low_context") != F.col("high_context")) | (F.col("low_context2") != F.col("high_context2"))
+    again = stored(again.select("hash", mixed.alias("mixed")), "suffix-repeated")
     found = stored(_anchor_rows(docs, length, kmer, True).join(again.hint("shuffle_hash"), "hash"), "suffix-anchors")
     span = [F.col("first").alias("start"), (F.col("first") + F.col("span") + length).alias("stop")]
-    whole = found.filter("not mixed").select("__id", "__text", *span)
-    mixed = found.filter("mixed").drop("mixed")
-    kinds = mixed.groupBy("hash", "context").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("owner"))
+    whole = found.filter("not mixed").select("__file", "__row", *span)
+    mixed = found.filter("mixed").drop("mixed").withColumn("name", F.xxhash64("__file", "__row"))
+    kinds = stored(mixed.groupBy("hash", "context", "context2").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("owner")), "suffix-kinds")
     many = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("classes"))
-    mixed = mixed.join(kinds.join(many, "hash"), ["hash", "context"])
-    known = mixed.filter("n > 1").select("__id", "__text", *span)
+    kinds = stored(kinds.join(many, "hash"), "suffix-classes")
+    mixed = mixed.join(kinds, ["hash", "context", "context2"])
+    known = mixed.filter("n > 1").select("__file", "__row", *span)
     wanted = F.struct("first", "span", "offset", "hash", (F.col("n") == 1).alias("single"), "classes")
-    owners = mixed.filter(F.col("__id") == F.col("owner")).groupBy("__id", "__text").agg(F.collect_list(wanted).alias("wanted"))
-    rows = docs.join(owners.hint("shuffle_hash"), ["__id", "__text"], "left").select("__id", "__text", "__data", "wanted")
+    owners = mixed.filter(F.col("name") == F.col("owner")).groupBy("__file", "__row").agg(F.collect_list(wanted).alias("wanted"))
+    rows = docs.join(owners.hint("shuffle_hash"), ["__file", "__row"], "left").select("__file", "__row", "__data", "wanted")
     return whole.union(known).union(_sorted_blocks(_contexts(rows, length, hot), length, block))
 
 
@@ -251,25 +252,27 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
     left) if asked.
 
     Every occurrence goes, the first too. Null texts are empty. Texts below
-    ``length`` bytes lose nothing. Rows with equal ids are documents of their
-    own; equal rows repeat each other. An empty table stays empty.
+    ``length`` bytes lose nothing; longer ones may be of any length. Every
+    row is a document of its own, with equal or null ids too, and equal rows
+    repeat each other. Other columns of ``docs`` are not looked at, whatever
+    their names. An empty table stays empty.
     """
-    rows = small_batches(docs).select(*_row(key, text))
+    rows = named_rows(small_batches(docs), __key=F.col(key).cast("long"), __data=F.col(text))
     spans = repeated_spans(rows, **options)
-    lists = spans.groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    met = rows.join(lists.hint("shuffle_hash"), ["__id", "__text"], "left").select("__id", "__text", "__data", "spans")
+    lists = spans.groupBy("__file", "__row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    met = rows.join(lists.hint("shuffle_hash"), ["__file", "__row"], "left").select("__key", "__data", "spans")
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for name, data, found in zip(batch.column(0).to_pylist(), encoded(batch.column(2)), batch.column(3)):
+            for name, data, found in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), batch.column(2)):
                 left, removed, count = [data], 0, 0
                 if found.is_valid:
                     both = found.values.flatten()
                     left, removed, count = _kept(data, list(zip(both[0].to_pylist(), both[1].to_pylist())))
                 whole = b"".join(left)
-                out.append((None if name == -(2**63) else name, len(data), removed, count, hashlib.sha256(whole).hexdigest(), whole)[: len(names)])
+                out.append((name, len(data), removed, count, hashlib.sha256(whole).hexdigest(), whole)[: len(names)])
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(names), kinds)], names=names)
 

@@ -69,6 +69,28 @@ def test_equal_rows_null_ids_and_empty(spark):
     assert left.kept == b"abc"
 
 
+def test_null_ids_share_no_identity(spark, tmp_path):
+    """Rows without id, two equal and one that shares nothing, from rows and
+    from files, beside columns with the names of working columns."""
+    rng = random.Random(9)
+    one, other = ("".join(rng.choices("abcdefgh", k=320)) for _ in range(2))
+    rows = [(None, one, "x", "y", 0), (None, other, "x", "y", 0), (1, one, None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"lang": "__row", "source": "__file"})
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        assert got(table) == brute(rows, 200)
+        assert sorted(r.n_removed for r in suffix_dedup.deduplicated(table).collect()) == [0, 320, 320]
+
+
+def test_text_beyond_a_piece(spark):
+    """Above a megabyte a text is taken in pieces: repeats across their cuts."""
+    rng = random.Random(10)
+    text = "".join(rng.choices("abcdefghijklmnop", k=2_300_000))
+    rows = [(1, text, None, None, 0), (2, text[1_040_000:1_060_000], None, None, 0)]
+    found = {r.doc_id: r for r in suffix_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (found[1].n_removed, found[1].n_spans, found[2].n_removed) == (20_000, 1, 20_000)
+
+
 def test_cover_holds_every_difference():
     p = suffix_sort.PERIOD
     for i in range(p):
