@@ -1,23 +1,28 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
 Each task cuts its documents into shards and builds a suffix array over the
-words of a shard. The opening window of every test suffix (ten words, or all
-of a shorter item; equal ones once) is looked up in it by binary search, which
-gives all places of the shard where it stands: a document with one is
-affected. ``longest_matches`` finds the longest verbatim match of every test
-suffix and where it lies; one place for a suffix says less than hits need.
+words of a shard. Every test suffix is searched in it by its opening window
+(ten words, or all of a shorter item; equal ones once) by binary search, which
+gives all places of the shard where it stands. Places that follow each other
+in document and item alike make one verbatim match, so each document has its
+matches whole, of any length and with their locations; a document with one is
+affected. ``longest_matches`` turns the view around: for every test suffix its
+longest match over all documents and where it lies.
 
 The arrays are sparse: a training suffix whose opening words open no test
 suffix cannot match, so it is left out before sorting; what is left is sorted
-to ``DEPTH`` words. Words are compared by 64-bit hash.
+to the length of the window (to ``DEPTH`` words for longest matches, which
+compare words beyond). Words are compared by 64-bit hash.
 
 The test items travel to the tasks in blocks of at most ``BLOCK_BYTES``, one
 pass over the rows for each block, so a broadcast never exceeds a block
-however large the benchmark is. Nothing is shuffled.
+however large the benchmark is. A worker prepares a block once and keeps the
+last one for its later tasks. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +37,8 @@ from strandline.llm.textkit import runs, separator_table, word_hashes
 WINDOW = 10
 #: Words to which suffixes are ordered; beyond, longest matches compare words.
 DEPTH = 64
-#: UTF-8 bytes of items in one broadcast.
-BLOCK_BYTES = 8 << 20
+#: UTF-8 bytes of items in one broadcast; prepared, they take some 50 times that.
+BLOCK_BYTES = 2 << 20
 #: Blocks applied in one plan before its result is written down.
 BLOCKS_PER_PLAN = 4
 #: A shard ends at so many words, or so many suffixes left to sort.
@@ -79,7 +84,7 @@ class TestItems:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
+    def __init__(self, items: list[tuple[str, bytes]], window: int, depth: int = DEPTH) -> None:
         hashed = [(name, words) for name, text in items if len(words := words_of(text))]
         self.any = bool(hashed)
         if not self.any:
@@ -88,17 +93,20 @@ class TestItems:
         self.kind = np.dtype(">u2") if len(self.vocabulary.keys) < 0xFFFF else np.dtype(">u4")
         self.names = [name for name, _ in hashed]
         ids = self.ids = [self.vocabulary(w) for _, w in hashed]
-        self.suffixes = [(i, k) for i, x in enumerate(ids) for k in range(len(x))]
-        self.depth = min(DEPTH, max(window, max(map(len, ids))))
-        self.keys = self._rows([ids[i][k : k + self.depth] for i, k in self.suffixes], 0)
-        # distinct windows with the items that hold them
-        found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
+        self.depth = min(depth, max(window, max(map(len, ids))))
+        # distinct windows, the items that hold them, and the window of each suffix
+        found: dict[bytes, int] = {}
+        self.windows, self.holders, self.window_of = [], [], []
         for i, x in enumerate(ids):
             width = min(window, len(x))
+            own = []
             for k in range(len(x) - width + 1):
-                found.setdefault(x[k : k + width].tobytes(), (x[k : k + width], set()))[1].add(i)
-        self.windows = [w for w, _ in found.values()]
-        self.holders = [sorted(s) for _, s in found.values()]
+                own.append(found.setdefault(x[k : k + width].tobytes(), len(found)))
+                if own[-1] == len(self.windows):
+                    self.windows.append(x[k : k + width])
+                    self.holders.append(set())
+                self.holders[own[-1]].add(i)
+            self.window_of.append(own)
         self.low, self.high = self._rows(self.windows, 0), self._rows(self.windows, np.iinfo(self.kind).max)
         # what a suffix must open with to be worth sorting
         self.openings = {}
@@ -107,6 +115,13 @@ class TestItems:
             if opening:
                 self.openings[n] = _Lookup(self._packed(np.array(opening)))
 
+    def suffix_keys(self) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """(item, word) of every test suffix, and its first words."""
+        if not hasattr(self, "_suffixes"):
+            places = [(i, k) for i, x in enumerate(self.ids) for k in range(len(x))]
+            self._suffixes = places, self._rows([self.ids[i][k : k + self.depth] for i, k in places], 0)
+        return self._suffixes
+
     def _rows(self, words: list[np.ndarray], fill: int) -> np.ndarray:
         out = np.full((len(words), self.depth), fill, dtype=self.kind)
         for row, w in zip(out, words):
@@ -185,8 +200,9 @@ class Shard:
         """(test suffix, words, places) of the longest match, of ``least``
         words or more, of each suffix; all the places of that length."""
         kind, depth = self.items.kind, self.items.depth
-        at = np.searchsorted(self.keys, self.items.keys)
-        own = self.items.keys.view(kind).reshape(-1, depth)
+        suffixes, keys = self.items.suffix_keys()
+        at = np.searchsorted(self.keys, keys)
+        own = keys.view(kind).reshape(-1, depth)
         best = np.zeros(len(own), dtype=np.int64)
         for side in (np.maximum(at - 1, 0), np.minimum(at, len(self.keys) - 1)):
             same = (self.keys[side].view(kind).reshape(-1, depth) == own) & (own > 0)
@@ -198,7 +214,7 @@ class Shard:
             high = np.searchsorted(self.keys, self.items._rows(prefix, np.iinfo(kind).max)[0], side="right")
             places = self.array[low:high]
             if n == depth:
-                i, k = self.items.suffixes[s]
+                i, k = suffixes[s]
                 n, places = self._extended(self.items.ids[i][k:], n, places)
             yield int(s), n, places
 
@@ -227,27 +243,75 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int)
         yield block
 
 
+#: The block a worker prepared last.
+_PREPARED: dict[tuple, TestItems] = {}
+
+
+def _prepared(name: str, block: list[tuple[str, bytes]], window: int, depth: int) -> TestItems:
+    if (name, window, depth) not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[name, window, depth] = TestItems(block, window, depth)
+    return _PREPARED[name, window, depth]
+
+
+def _matches(windows: list[int], width: int, places: dict[int, np.ndarray]) -> np.ndarray:
+    """Maximal matches of one item: rows (words, place, word of the item).
+
+    ``windows`` of its suffixes in order, and where each stands in the shard,
+    ascending. A place continues a match that stood one place before at the
+    suffix before, so only two suffixes' places are held at a time.
+    """
+    none = np.empty(0, dtype=np.int64)
+    before, length, out = none, none, []
+    for k in range(len(windows) + 1):
+        now = places.get(windows[k], none) if k < len(windows) else none
+        at = np.searchsorted(before, now - 1)
+        goes_on = np.zeros(len(now), dtype=bool)
+        inside = at < len(before)
+        goes_on[inside] = before[at[inside]] == now[inside] - 1
+        ended = np.ones(len(before), dtype=bool)
+        ended[at[goes_on]] = False
+        if ended.any():
+            n = length[ended]
+            out.append(np.column_stack([n + width - 1, before[ended] - n + 1, k - n]))
+        new = np.ones(len(now), dtype=np.int64)
+        new[goes_on] = length[at[goes_on]] + 1
+        before, length = now, new
+    return np.concatenate(out)
+
+
 def _apply(rows: DataFrame, spark: SparkSession, block: list[tuple[str, bytes]], text: str, window: int) -> DataFrame:
-    shipped = spark.sparkContext.broadcast(block)
+    shipped, block_name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
     names = rows.columns
-    at, kept = names.index(text), {n: names.index(n) for n in ("__from", "__to", "__items")}
+    at, kept = names.index(text), {n: names.index(n) for n in ("__from", "__to", "__items", "__longest")}
+    longest_type = pa.struct([("n_words", pa.int64()), ("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = TestItems(shipped.value, window)
+        items = _prepared(block_name, shipped.value, window, window)
 
         def flush(shard: Shard, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hits: dict[int, list] = {}
             names_of: dict[int, set[str]] = {}
+            longest: dict[int, tuple] = {}
             if shard.places:
                 shard.build()
                 starts = np.array(shard.starts)
-                for w, places in shard.occurrences():
+                where = {w: np.sort(places) for w, places in shard.occurrences()}
+                for w, places in where.items():
                     width = len(items.windows[w])
                     docs = np.searchsorted(starts, places, side="right") - 1
-                    holders = [items.names[i] for i in items.holders[w]]
+                    holders = {items.names[i] for i in items.holders[w]}
                     for d, p in zip(docs.tolist(), (places - starts[docs]).tolist()):
                         hits.setdefault(d, []).append((p, p + width))
                         names_of.setdefault(d, set()).update(holders)
+                for i in set().union(*[items.holders[w] for w in where]):
+                    found = _matches(items.window_of[i], min(window, len(items.ids[i])), where)
+                    docs = np.searchsorted(starts, found[:, 1], side="right") - 1
+                    order = np.lexsort((found[:, 2], found[:, 1], -found[:, 0], docs))
+                    best = order[np.concatenate([[True], np.diff(docs[order]) > 0])]
+                    for d, (n, p, k) in zip(docs[best].tolist(), found[best].tolist()):
+                        match = (-n, items.names[i], p - int(starts[d]), k)
+                        longest[d] = min(match, longest.get(d, match))
             ends = np.diff([*shard.starts, shard.size]) - 1
             first = 0
             for batch in held:
@@ -262,8 +326,11 @@ def _apply(rows: DataFrame, spark: SparkSession, block: list[tuple[str, bytes]],
                         start, end = runs(mask)
                         columns[0][d], columns[1][d] = start.tolist(), end.tolist()
                         columns[2][d] = sorted(set(columns[2][d]) | names_of[first + d])
+                        match, old = longest[first + d], columns[3][d]
+                        if old is None or match < (-old["n_words"], old["item_id"], old["doc_word"], old["item_word"]):
+                            columns[3][d] = {"n_words": -match[0], "item_id": match[1], "item_word": match[3], "doc_word": match[2]}
                 first += batch.num_rows
-                made = dict(zip([*kept.values(), names.index("__words")], [pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.string())), pa.array(total, pa.int64())]))
+                made = dict(zip([*kept.values(), names.index("__words")], [pa.array(columns[0], pa.list_(pa.int32())), pa.array(columns[1], pa.list_(pa.int32())), pa.array(columns[2], pa.list_(pa.string())), pa.array(columns[3], longest_type), pa.array(total, pa.int64())]))
                 yield pa.RecordBatch.from_arrays([made.get(i, batch.column(i)) for i in range(len(names))], names=names)
 
         shard, held = Shard(items), []
@@ -284,14 +351,16 @@ def _apply(rows: DataFrame, spark: SparkSession, block: list[tuple[str, bytes]],
 
 def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``__words`` (their number), ``__from`` and ``__to`` (runs
-    of words hit, in order, apart) and ``__items`` (ids of the items matched).
+    of words hit, in order, apart), ``__items`` (ids of the items matched) and
+    ``__longest`` (the longest match: words, item, place in both; else null).
 
-    Rows keep all their columns; null texts have no words. Without items, or
-    with items that have no words, nothing is hit. Items with equal ids count
-    as one. Columns of ``docs`` with these names are replaced.
+    Rows keep all their columns; null and empty texts have no words. Texts may
+    have any length, and rows may repeat. Without items, or with items that
+    have no words, nothing is hit. Items with equal ids count as one. Columns
+    of ``docs`` with these names are replaced.
     """
     none = F.array().cast("array<int>")
-    rows = small_batches(docs).withColumns({"__words": F.lit(0).cast("long"), "__from": none, "__to": none, "__items": F.array().cast("array<string>")})
+    rows = small_batches(docs).withColumns({"__words": F.lit(0).cast("long"), "__from": none, "__to": none, "__items": F.array().cast("array<string>"), "__longest": F.lit(None).cast("struct<n_words:bigint,item_id:string,item_word:bigint,doc_word:bigint>")})
     blocks = 0
     for block in item_blocks(benchmark, item_id, item_text, block_bytes):
         if blocks and blocks % BLOCKS_PER_PLAN == 0:
@@ -300,18 +369,24 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     return rows if blocks else _apply(rows, docs.sparkSession, [], text, window)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that no window of an item occurs in."""
-    return matched(docs, benchmark, **options).filter(F.size("__from") == 0).select(*docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that no window of an item occurs in, with all
+    their columns, whatever their names."""
+    rows = docs.toDF(*[c if c == text else f"c{i}" if f"c{i}" != text else f"d{i}" for i, c in enumerate(docs.columns)])
+    return matched(rows, benchmark, text=text, **options).filter(F.size("__from") == 0).select(*rows.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, keys: list[str], **options) -> DataFrame:
-    """Digest of each document: words, words hit, items and their sha256."""
+    """Digest of each document: words, words hit, items and their sha256, and
+    its longest verbatim match (words, item, first word in item and document;
+    0 and nulls without one)."""
     rows = matched(docs, benchmark, **options)
     hit = F.aggregate(F.zip_with("__from", "__to", lambda a, b: b - a), F.lit(0).cast("long"), lambda t, x: t + x)
     return rows.select(
         *keys, F.col("__words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("__items")), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        F.coalesce("__longest.n_words", F.lit(0).cast("long")).alias("longest_words"), F.col("__longest.item_id").alias("longest_item"),
+        F.col("__longest.item_word").alias("longest_item_word"), F.col("__longest.doc_word").alias("longest_doc_word"),
     )
 
 
@@ -325,8 +400,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     for block in item_blocks(benchmark, item_id, item_text, block_bytes):
         shipped = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            items = TestItems(shipped.value, WINDOW)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            items = _prepared(name, shipped.value, WINDOW, DEPTH)
 
             def flush(shard: Shard, ids: list) -> Iterator[pa.RecordBatch]:
                 if not shard.places:
@@ -336,7 +411,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                 for s, n, places in shard.longest(least):
                     at = np.searchsorted(starts, places, side="right") - 1
                     d, word = min(zip(at.tolist(), (places - starts[at]).tolist()), key=lambda x: (ids[x[0]] is not None, ids[x[0]], x[1]))
-                    rows.append((items.names[items.suffixes[s][0]], items.suffixes[s][1], n, ids[d], word))
+                    item, k = items.suffix_keys()[0][s]
+                    rows.append((items.names[item], k, n, ids[d], word))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["item_id", "item_word", "n_words", "doc_id", "doc_word"])
 

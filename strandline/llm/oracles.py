@@ -9,15 +9,19 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 DECONTAMINATION = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-windows AS (SELECT DISTINCT item, width, array_to_string(w[i:i + width - 1], ' ') AS s
-  FROM (SELECT item, w, least(10, len(w)) AS width, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+windows AS (SELECT item, n, width, i AS k, array_to_string(w[i:i + width - 1], ' ') AS s
+  FROM (SELECT item, row_number() OVER () AS n, w, least(10, len(w)) AS width, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
 places AS (SELECT doc_id, width, i, array_to_string(w[i:i + width - 1], ' ') AS s
   FROM (SELECT doc_id, w, width, unnest(generate_series(1, len(w) - width + 1)) AS i FROM d, (SELECT DISTINCT width FROM windows) WHERE len(w) >= width)),
-hits AS (SELECT doc_id, i, width, item FROM places JOIN windows USING (width, s)),
+hits AS (SELECT doc_id, i, width, item, n, k FROM places JOIN windows USING (width, s)),
+chained AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, n, i - k ORDER BY i) AS chain FROM hits),
+matches AS (SELECT doc_id, any_value(item) AS item, max(i) - min(i) + any_value(width) AS n_words, min(k) - 1 AS item_word, min(i) - 1 AS doc_word FROM chained GROUP BY doc_id, n, i - k, chain),
+longest AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_words DESC, item, doc_word, item_word) = 1),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + width - 1)) AS p FROM (SELECT DISTINCT doc_id, i, width FROM hits)) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(l.n_words, 0)::BIGINT AS longest_words, l.item AS longest_item, l.item_word::BIGINT AS longest_item_word, l.doc_word::BIGINT AS longest_doc_word
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest l USING (doc_id)
 """
 
 _RATES = quality_rules.RATES
