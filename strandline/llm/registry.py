@@ -50,7 +50,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     shards = token_shards.write_shards(read(spark, sf_dir, "documents"), shared.folder(spark, "token-shards"), path, end=2)
-    return token_shards.read_shards(spark, shards)
+    return token_shards.read_shards(shards)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,10 @@ def folder(spark: SparkSession, name: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), "strandline-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+    # with its file system, so that what does not go through Spark's readers finds it too
+    path = spark._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole}/strandline/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -4,22 +4,28 @@ A shard file holds, little-endian:
 
     header     8 bytes magic, then unsigned 64-bit: ids, documents, bytes of
                an id, levels of the index, seed of the index
+    levels     uint64 count of bits of each level, a multiple of BLOCK
     ids        of all documents of the shard, one after another
     keys       per document in order: int64 key, int64 occurrence, uint8 null
-    index      levels of a minimal perfect hash (each: uint64 count of bits,
-               then the bits in uint64 words), then per slot uint32
-               fingerprint, uint64 start, uint32 length
-
-The hash places each key alone in a bit of the first level where no other key
-of the level meets it; keys that meet go on to the next level. The rank of a
-key's bit is its slot, so n keys fill slots 0 to n - 1, at about three bits a
-key. A fingerprint of 32 bits in the slot tells keys that are not in the
-shard, but for one in four billion.
+    bits       of each level, least bit first
+    ranks      uint64 for each BLOCK bits of all levels: set bits before it
+    slots      per slot uint32 fingerprint, uint64 start, uint32 length
+
+The levels are a minimal perfect hash: each key is placed alone in a bit of
+the first level where no other key of the level meets it; keys that meet go
+on to the next level. The rank of a key's bit is its slot, so n keys fill
+slots 0 to n - 1, at about three bits a key. A fingerprint of 32 bits in the
+slot tells keys that are not in the shard, but for one in four billion. A
+lookup reads the header, and for each level it passes one bit; then a rank, a
+block of bits and a slot, wherever in the file they lie: its cost does not
+grow with the shard.
 
 Documents go to shards by ranges of the key and stand in its order, null keys
-first. Rows with equal keys are told apart by their occurrence in the shard.
-Files are written under another name and moved into place, so a task that is
-run again or twice leaves one whole file.
+first. The manifest, a table of a row for each shard, has its range of keys,
+so a key is looked up in the shards that may hold it. Rows with equal keys
+are told apart by their occurrence, counted on from shard to shard. Files are
+written under another name and moved into place, so a task that is run again
+or twice leaves one whole file.
 """
 
 from __future__ import annotations
@@ -37,16 +43,23 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandline.llm.batches import encoded, small_batches, tidy
 from strandline.llm.segments import LIMIT, SegmentTable
+from strandline.llm.shared import stored
 from strandline.llm.textkit import mix64
 
-MAGIC = b"STRNDTK1"
+MAGIC = b"STRNDTK2"
+#: Bits between two stored ranks.
+BLOCK = 512
 SHARD_BYTES = 64 << 20
 #: Texts are encoded in groups of about so many bytes.
 GROUP = 1 << 20
 _HEADER = struct.Struct("<8s5Q")
+_SLOT = np.dtype([("fingerprint", "<u4"), ("start", "<u8"), ("length", "<u4")])
+#: Shards whose ids are summed in one group before groups are summed.
+_MANIFEST_GROUP = 1024
 
 
 # -- the index -----------------------------------------------------------------
@@ -68,7 +81,7 @@ def build_levels(hashes: np.ndarray, spread: float = 2.0) -> list[np.ndarray] |
     while len(left):
         if len(levels) > 60:
             return None
-        bits = -(-max(64, int(spread * len(left))) // 64) * 64
+        bits = -(-max(64, int(spread * len(left))) // BLOCK) * BLOCK
         at = _at(left, len(levels), bits)
         alone = np.bincount(at, minlength=bits) == 1
         levels.append(alone)
@@ -95,7 +108,9 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
 
 
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pa.fs.LocalFileSystem(), os.path.abspath(uri))
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return pa.fs.FileSystem.from_uri(uri) if "://" in uri else (pa.fs.LocalFileSystem(), os.path.abspath(uri))
 
 
 def write_shard(uri: str, ids: np.ndarray, lengths: np.ndarray, keys: np.ndarray, null: np.ndarray) -> None:
@@ -113,63 +128,114 @@ def write_shard(uri: str, ids: np.ndarray, lengths: np.ndarray, keys: np.ndarray
         raise ValueError("keys of a shard cannot be told apart")
     slot = slots(hashes, levels)
     start = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0)
-    table = [np.empty(len(keys), dtype=t) for t in ("<u4", "<u8", "<u4")]
-    for column, value in zip(table, (fingerprints(hashes), start, lengths)):
-        column[slot] = value
+    table = np.empty(len(keys), dtype=_SLOT)
+    for column, value in zip(_SLOT.names, (fingerprints(hashes), start, lengths)):
+        table[column][slot] = value
+    bits = np.concatenate([*levels, np.zeros(0, dtype=bool)])
+    ranks = np.concatenate([[0], np.cumsum(bits.reshape(-1, BLOCK).sum(axis=1))[:-1]]) if len(bits) else np.zeros(0)
     fs, path = filesystem(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as f:
         f.write(_HEADER.pack(MAGIC, len(ids), len(keys), ids.dtype.itemsize, len(levels), seed))
-        for column in (ids, keys.astype("<i8"), same.astype("<i8"), null.astype("u1")):
-            f.write(column.tobytes())
-        for bits in levels:
-            f.write(struct.pack("<Q", len(bits)) + np.packbits(bits, bitorder="little").tobytes())
-        for column in table:
+        f.write(np.array([len(x) for x in levels], dtype="<u8").tobytes())
+        for column in (ids, keys.astype("<i8"), same.astype("<i8"), null.astype("u1"), np.packbits(bits, bitorder="little"), ranks.astype("<u8"), table):
             f.write(column.tobytes())
     fs.move(draft, path)
 
 
 class Shard:
-    """A shard file, read whole; documents are found through its index."""
+    """A shard file; what a lookup or a scan needs is read from its place."""
 
     def __init__(self, uri: str) -> None:
         fs, path = filesystem(uri)
-        with fs.open_input_file(path) as f:
-            data = f.read()
-        magic, ids, docs, width, levels, self.seed = _HEADER.unpack_from(data)
+        self.file = fs.open_input_file(path)
+        magic, ids, self.docs, width, levels, self.seed = _HEADER.unpack(self._bytes(0, _HEADER.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no shard file")
         at = _HEADER.size
+        self.level_bits = np.frombuffer(self._bytes(at, 8 * levels), dtype="<u8").astype(np.int64)
+        self.kind, self.count = np.dtype(f"<u{width}"), ids
+        total, self.offset = int(self.level_bits.sum()), {}
+        sizes = {"levels": 8 * levels, "ids": ids * width, "keys": 8 * self.docs, "occurrence": 8 * self.docs, "null": self.docs, "bits": total // 8, "ranks": total // BLOCK * 8, "slots": self.docs * _SLOT.itemsize}
+        for name, size in sizes.items():
+            self.offset[name], at = at, at + size
+
+    def _bytes(self, at: int, size: int) -> bytes:
+        return self.file.read_at(size, at)
+
+    def _array(self, name: str, kind: str | np.dtype, first: int, count: int) -> np.ndarray:
+        kind = np.dtype(kind)
+        return np.frombuffer(self._bytes(self.offset[name] + first * kind.itemsize, count * kind.itemsize), dtype=kind)
+
+    def ids(self, start: int, length: int) -> np.ndarray:
+        return self._array("ids", self.kind, start, length)
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, occurrence and whether null, of all documents in order."""
+        return self._array("keys", "<i8", 0, self.docs), self._array("occurrence", "<i8", 0, self.docs), self._array("null", "u1", 0, self.docs).astype(bool)
+
+    def _slot(self, key_hash: np.ndarray) -> int:
+        """Slot of one key, -1 if no level takes it."""
+        before = 0
+        for k, bits in enumerate(self.level_bits.tolist()):
+            place = before + int(_at(key_hash, k, bits)[0])
+            if self._array("bits", "u1", place // 8, 1)[0] >> (place % 8) & 1:
+                block = place // BLOCK
+                own = self._bytes(self.offset["bits"] + block * BLOCK // 8, BLOCK // 8)
+                below = int.from_bytes(own, "little") & ((1 << place % BLOCK) - 1)
+                return int(self._array("ranks", "<u8", block, 1)[0]) + below.bit_count()
+            before += bits
+        return -1
+
+    def locate(self, key: int | None, occurrence: int = 0) -> tuple[int, int] | None:
+        """(start, length) of a document's ids, or None."""
+        key_hash = key_hashes(np.array([key or 0]), np.array([occurrence]), np.array([key is None]), self.seed)
+        slot = self._slot(key_hash)
+        if slot < 0:
+            return None
+        row = self._array("slots", _SLOT, slot, 1)[0]
+        return (int(row["start"]), int(row["length"])) if row["fingerprint"] == fingerprints(key_hash)[0] else None
 
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, dtype=kind, count=n, offset=at)
-            at += out.nbytes
-            return out
-
-        self.ids = take(f"<u{width}", ids)
-        self.keys, self.occurrence, self.null = take("<i8", docs), take("<i8", docs), take("u1", docs).astype(bool)
-        self.levels = []
-        for _ in range(levels):
-            bits = int(take("<u8", 1)[0])
-            self.levels.append(np.unpackbits(take("u1", bits // 8), bitorder="little").astype(bool))
-        self.fingerprint, self.start, self.length = take("<u4", docs), take("<u8", docs), take("<u4", docs)
+    def document(self, key: int | None, occurrence: int = 0) -> np.ndarray | None:
+        """Ids of one document, or None."""
+        found = self.locate(key, occurrence)
+        return None if found is None else self.ids(*found)
+
+    def occurrences(self, key: int | None) -> int:
+        """Documents of a key, by lookups alone."""
+        least, most = 0, 1  # least is there (or 0), most is to be tried
+        while self.locate(key, most - 1) is not None:
+            least, most = most, 2 * most
+        while least + 1 < most:
+            middle = (least + most) // 2
+            least, most = (middle, most) if self.locate(key, middle - 1) is not None else (least, middle)
+        return least
 
     def find(self, keys: np.ndarray, occurrence: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, length) of each document; start -1 where it is missing."""
+        """(start, length) of many documents, with the index read whole; start
+        -1 where one is missing."""
+        bits = np.unpackbits(self._array("bits", "u1", 0, int(self.level_bits.sum()) // 8), bitorder="little").astype(bool)
         hashes = key_hashes(keys, occurrence, null, self.seed)
-        slot = slots(hashes, self.levels)
-        there = slot >= 0
-        there[there] = self.fingerprint[slot[there]] == fingerprints(hashes[there])
+        slot = slots(hashes, np.split(bits, np.cumsum(self.level_bits)[:-1]) if len(self.level_bits) else [])
+        table, there = self._array("slots", _SLOT, 0, self.docs), slot >= 0
+        there[there] = table["fingerprint"][slot[there]] == fingerprints(hashes[there])
         start, length = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        start[there], length[there] = self.start[slot[there]], self.length[slot[there]]
+        start[there], length[there] = table["start"][slot[there]], table["length"][slot[there]]
         return start, length
 
-    def document(self, key: int | None, occurrence: int = 0) -> np.ndarray | None:
-        """Ids of one document, or None."""
-        start, length = self.find(np.array([key or 0]), np.array([occurrence]), np.array([key is None]))
-        return None if start[0] < 0 else self.ids[start[0] : start[0] + length[0]]
+
+def document(manifest: DataFrame, key: int | None, occurrence: int = 0) -> np.ndarray | None:
+    """Ids of the document of a key, by the manifest; or None."""
+    k = F.lit(key).cast("long")
+    holds = F.col("nulls") > 0 if key is None else (F.col("low") <= k) & (F.col("high") >= k)
+    for row in manifest.filter(holds).orderBy("number").toLocalIterator():
+        shard = Shard(row.path)
+        if (found := shard.document(key, occurrence)) is not None:
+            return found
+        # equal keys may go on in the next shard
+        occurrence -= shard.occurrences(key)
+    return None
 
 
 # -- encoding --------------------------------------------------------------------
@@ -183,13 +249,14 @@ class TextEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         small = self.tokenizer.get_vocab_size() <= 0x10000
         self.kind, self.code = np.dtype("<u2" if small else "<u4"), "H" if small else "I"
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)  # byte-level: a character stands for a byte
         self.table = SegmentTable(self._library, self._words, self.kind, cache)
+        # the library looks for these in a text before all else, across words
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -210,7 +277,12 @@ class TextEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text in UTF-8, as little-endian integers."""
-        return self.table.encode(texts)
+        whole = [k for k, data in enumerate(texts) if any(t in data for t in self.added)]
+        if not whole:
+            return self.table.encode(texts)
+        plain = iter(self.table.encode([data for k, data in enumerate(texts) if k not in set(whole)]))
+        special = dict(zip(whole, self._library([texts[k].decode() for k in whole])))
+        return [special[k] if k in special else next(plain) for k in range(len(texts))]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -236,11 +308,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
         yield keys, texts
 
 
-def write_shards(docs: DataFrame, uri: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> list[tuple[str, int, int]]:
-    """Writes the shards; returns (path, documents, ids) of each, in order.
+def write_shards(docs: DataFrame, uri: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards; returns their manifest, a stored table.
 
-    Null texts are empty and hold the end id alone. Partitions without
-    documents write no file. What comes back is a row for each shard.
+    The manifest has a row for each shard: number, path, docs, ids, nulls
+    (documents without key), low and high (range of the other keys), and
+    ``first``, the ids of all shards before. Null texts are empty and hold the
+    end id alone; texts may be of any length. Rows with equal keys stand in
+    the order of a hash of their text. Other columns of ``docs`` are not
+    looked at. Partitions without documents write no file.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     count = int(size // shard_bytes + 1)
@@ -263,28 +339,39 @@ def write_shards(docs: DataFrame, uri: str, tokenizer: str, end: int, key: str =
         ids = np.frombuffer(b"".join(parts), dtype=own.kind)
         null = np.array([k is None for k in keys])
         write_shard(path, ids, lengths, np.array([k or 0 for k in keys], dtype=np.int64), null)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([len(keys)], pa.int64()), pa.array([len(ids)], pa.int64())], names=["number", "path", "docs", "ids"])
+        named = [k for k in keys if k is not None]
+        row = {"number": number, "path": path, "docs": len(keys), "ids": len(ids), "nulls": int(null.sum()), "low": min(named, default=None), "high": max(named, default=None)}
+        yield pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
+
+    made = stored(dealt.mapInArrow(tidy(run), "number bigint, path string, docs bigint, ids bigint, nulls bigint, low bigint, high bigint"), "token-manifest")
+    group = F.floor(F.col("number") / _MANIFEST_GROUP).alias("group")
+    before = lambda w: F.coalesce(F.sum("ids").over(w.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = made.groupBy(group).agg(F.sum("ids").alias("ids")).withColumnRenamed("group", "number")
+    groups = groups.select(F.col("number").alias("group"), before(Window.partitionBy(F.lit(0))).alias("above"))
+    within = made.select("*", group).withColumn("within", before(Window.partitionBy("group")))
+    return stored(within.join(groups, "group").withColumn("first", F.col("above") + F.col("within")).drop("group", "above", "within"), "token-manifest")
+
 
-    made = dealt.mapInArrow(tidy(run), "number int, path string, docs bigint, ids bigint").collect()
-    return [(r.path, r.docs, r.ids) for r in sorted(made)]
+_MANIFEST = pa.schema([("number", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("nulls", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
-def read_shards(spark, shards: list[tuple[str, int, int]], key: str = "doc_id") -> DataFrame:
+def read_shards(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, from the files.
 
     Each document is found by its key through the index of its shard.
     """
-    first = np.concatenate([[0], np.cumsum([s[2] for s in shards])]).astype(int).tolist()
-    rows = spark.createDataFrame([(path, at) for (path, _, _), at in zip(shards, first)], "path string, at bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, at in zip(*[c.to_pylist() for c in batch.columns]):
                 shard = Shard(path)
-                start, length = shard.find(shard.keys, shard.occurrence, shard.null)
+                keys, occurrence, null = shard.documents()
+                start, length = shard.find(keys, occurrence, null)
                 if (start < 0).any():
                     raise ValueError(f"{path}: a key is missing from its index")
-                crc = [zlib.crc32(shard.ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(start.tolist(), length.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.keys, pa.int64(), mask=shard.null), pa.array(start + at), pa.array(length), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
+                ids = shard.ids(0, shard.count)
+                crc = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(start.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=null), pa.array(start + at), pa.array(length), pa.array(crc, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    return rows.repartition(max(1, len(shards))).mapInArrow(tidy(run), f"{key} bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    shards = max(1, manifest.count())
+    return manifest.select("path", "first").repartition(shards, "path").mapInArrow(tidy(run), f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
