@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+import numpy as np
+
 from strandline.llm import sharding
 from tests.llm.samples import SCHEMA, frame
 
@@ -38,3 +40,27 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a", "x", 5)], "doc_id long, text string, shard string, slot int")
     got = sharding.sharded(docs, 2).collect()
     assert [(r.doc_id, r.text, r.slot) for r in got] == [(1, "a", 0)]
+    docs = spark.createDataFrame([(1, "a", 3, 4), (2, "b", 3, 4)], "doc_id long, text string, __bucket int, __first long")
+    assert sorted((r.doc_id, r.text) for r in sharding.sharded(docs, 2).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_order_is_the_permutation_of_each_bucket(spark):
+    """Against buckets filled and shuffled by hand, in order of their number."""
+    rows = [(k, f"text {k}" * (k % 7), None, None, None) for k in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sharding.sharded(docs, 7, bucket_bytes=1500).select("doc_id", "text", "__bucket", "shard", "slot").collect()
+    buckets = defaultdict(list)
+    for r in got:
+        buckets[r["__bucket"]].append((r.doc_id, r.text))
+    expected = []
+    for b in sorted(buckets):
+        own = sorted(buckets[b])
+        expected += [own[i] for i in np.random.Generator(np.random.PCG64([7, b])).permutation(len(own))]
+    assert len(buckets) > 5 and [(r.doc_id, r.text) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == expected
+
+
+def test_equal_rows_without_id_fill_several_buckets(spark):
+    docs = spark.createDataFrame([(None, "same " * 20, None, None, None)] * 400, SCHEMA)
+    got = sharding.sharded(docs, 16, bucket_bytes=4000)
+    assert got.select("__bucket").distinct().count() > 5
+    check(docs, sharding.report(got).collect(), 16)
