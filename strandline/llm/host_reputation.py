@@ -64,9 +64,9 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def registered_domain(host: Column) -> Column:
+def registered_domain(host: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     """The suffix and one label; addresses and names of one label stay whole."""
-    two = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
+    two = "|".join(s.replace(".", r"\.") for s in suffixes)
     name = F.regexp_extract(host, rf"([^.:]+\.(?:{two}|[^.:]+))(?::\d*)?$", 1)
     return F.when(host.rlike(r"^[0-9.]+(:\d*)?$") | (name == ""), host).otherwise(name)
 
@@ -104,17 +104,17 @@ def _strengths(levels: list[DataFrame]) -> list[tuple[float, float]]:
     return out
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+def reputations(outcomes: DataFrame, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """Posterior (a, b) of hosts, domains, suffixes and all, from (host, bad).
 
     ``bad``: 0 or 1, null where a page has no label. Counting by host before
     anything else keeps a host with most of the pages to one row for a task.
     """
     hosts = outcomes.groupBy("host").agg(F.sum("bad").alias("k"), F.count("bad").alias("n")).filter("n > 0")
-    hosts = stored(hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain"))), "host-counts")
+    hosts = stored(hosts.withColumn("domain", registered_domain(F.col("host"), suffixes)).withColumn("suffix", suffix(F.col("domain"))), "host-counts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    (s0, rate), (s1, _), (s2, _) = _strengths([suffixes, domains, hosts])
+    by_suffix = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    (s0, rate), (s1, _), (s2, _) = _strengths([by_suffix, domains, hosts])
 
     def shrunk(level: DataFrame, key: str, mean: Column, strength: float) -> DataFrame:
         return level.select(key, (mean * strength + F.col("k")).alias("a"), ((1 - mean) * strength + F.col("n") - F.col("k")).alias("b"))
@@ -124,7 +124,7 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, t
         return shrunk(rows, key, F.col("mean"), strength)
 
     everything = rate * s0, (1 - rate) * s0
-    of_suffix = shrunk(suffixes, "suffix", F.lit(everything[0] / (everything[0] + everything[1])), s0)
+    of_suffix = shrunk(by_suffix, "suffix", F.lit(everything[0] / (everything[0] + everything[1])), s0)
     of_domain = under(domains, "domain", of_suffix, "suffix", s1)
     return under(hosts, "host", of_domain, "domain", s2), of_domain, of_suffix, everything
 
@@ -135,18 +135,21 @@ def lower_bound(a: Column, b: Column, z: float) -> Column:
     return a / total - z * F.sqrt(a * b / (total * total * (total + 1)))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, limit: float = 0.5, z: float = 1.645, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, limit: float = 0.5, z: float = 1.645, page_id: str = "page_id", url: str = "url", suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every page.
 
-    ``labels``: (page_id, bad). Several labels of a page all count; labels
+    ``suffixes``: those of two labels under which names are registered, as a
+    public list has them. ``labels``: (page_id, bad). Several labels of a page all count; labels
     without a page, null ids and null outcomes do not. Pages with equal or
-    null ids each keep their row. Without labels all hosts are allowed.
+    null ids each keep their row, and urls may have any length. Without labels
+    all hosts are allowed. Other columns of ``pages`` and ``labels`` are not
+    looked at, whatever their names. An empty table of pages stays empty.
     """
     cut = pages.select(page_id, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    labelled = cut.select(page_id, "host").join(labels.filter(F.col("bad").isNotNull()), page_id)
-    of_host, of_domain, of_suffix, everything = reputations(labelled.select("host", "bad"))
+    labelled = cut.select(page_id, "host").join(labels.select(page_id, "bad").filter(F.col("bad").isNotNull()), page_id)
+    of_host, of_domain, of_suffix, everything = reputations(labelled.select("host", "bad"), suffixes)
     # verdicts by host before they meet the pages: a row for each host
-    hosts = cut.select("host").distinct().withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("domain")))
+    hosts = cut.select("host").distinct().withColumn("domain", registered_domain(F.col("host"), suffixes)).withColumn("suffix", suffix(F.col("domain")))
     bounded = lambda t, key, name: t.select(key, lower_bound(F.col("a"), F.col("b"), z).alias(name))
     hosts = hosts.join(bounded(of_host, "host", "b0"), "host", "left").join(bounded(of_domain, "domain", "b1"), "domain", "left").join(bounded(of_suffix, "suffix", "b2"), "suffix", "left")
     last = lower_bound(F.lit(everything[0]), F.lit(everything[1]), z)
@@ -159,6 +162,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     )
 
 
+_TWO = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
 ORACLE_SQL = r"""
 WITH cut AS (
   SELECT page_id,
@@ -166,7 +170,7 @@ WITH cut AS (
     regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 named AS (
-  SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]*)?$') OR regexp_extract(host, '([^.:]+\.[^.:]+)(:[0-9]*)?$', 1) = '' THEN host ELSE regexp_extract(host, '([^.:]+\.[^.:]+)(:[0-9]*)?$', 1) END AS domain
+  SELECT *, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]*)?$') OR regexp_extract(host, '([^.:]+\.(?:@TWO|[^.:]+))(:[0-9]*)?$', 1) = '' THEN host ELSE regexp_extract(host, '([^.:]+\.(?:@TWO|[^.:]+))(:[0-9]*)?$', 1) END AS domain
   FROM cut),
 placed AS (SELECT *, CASE WHEN regexp_matches(domain, '^[0-9.]+(:[0-9]*)?$') THEN '' ELSE regexp_extract(domain, '^[^.]*\.(.*)$', 1) END AS suffix FROM named),
 bad AS (SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL),
@@ -195,4 +199,4 @@ ruled AS (
   FROM (SELECT DISTINCT host, path FROM cut) c JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
 SELECT page_id, c.host, c.path, r.rule, coalesce(r.verdict, CASE WHEN b.low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM cut c LEFT JOIN ruled r USING (host, path) LEFT JOIN bounds b ON b.host = c.host
-"""
+""".replace("@TWO", _TWO)
