@@ -181,32 +181,42 @@ def _own(kind: str) -> str:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with personal values in ``text`` replaced; other columns stay.
+    """``docs`` with personal values in ``text`` replaced; other columns stay,
+    whatever their names.
 
-    Null texts stay null, empty ones empty. Candidates that do not validate
-    stay as they are. Equal rows stay equal.
+    Null texts stay null, empty ones empty, and texts may be of any length.
+    Candidates that do not validate stay as they are. Equal rows stay equal,
+    and an empty table stays empty.
     """
-    return _replaced(docs, key, text).drop("_kinds")
+    return _replaced(docs, key, text, {})
 
 
 def pseudonymise_counted(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """As ``pseudonymise``, with ``n_values`` and ``n_<kind>`` (clashing names
     of ``docs`` are replaced)."""
-    out = _replaced(docs, key, text)
-    out = out.withColumn("n_values", F.size("_kinds").cast("long"))
-    for k in KINDS:
-        out = out.withColumn(f"n_{k}", F.expr(f"cast(size(filter(_kinds, x -> x = '{k}')) as bigint)"))
-    return out.drop("_kinds")
+    counts = {"n_values": "cast(size({0}) as bigint)"} | {f"n_{k}": f"cast(size(filter({{0}}, x -> x = '{k}')) as bigint)" for k in KINDS}
+    return _replaced(docs, key, text, counts)
 
 
-def _replaced(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``docs`` has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _replaced(docs: DataFrame, key: str, text: str, counts: dict[str, str]) -> DataFrame:
+    found, new, kinds = (_free(docs, n) for n in ("found", "new", "kinds"))
     fits = lambda k: f"m rlike {_quote('^(?:' + _own(k) + ')$')}"
     cases = " ".join(f"when {fits(k)} then named_struct('k', '{k}', 'v', {_MAKERS[k](key)})" for k in KINDS)
-    found = docs.withColumn("_found", F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
-    found = found.withColumn("_new", F.expr(f"transform(_found, m -> case {cases} end)"))
+    out = docs.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)))
+    out = out.withColumn(new, F.expr(f"transform(`{found}`, m -> case {cases} end)"))
     pieces = F.split(F.col(text), PATTERN, -1)
-    texts = F.transform(F.arrays_zip("_found", "_new"), lambda x: F.coalesce(x["_new"]["v"], x["_found"]))
+    texts = F.transform(F.arrays_zip(F.col(found).alias("found"), F.col(new).alias("new")), lambda x: F.coalesce(x["new"]["v"], x["found"]))
     woven = F.array_join(F.zip_with(pieces, texts, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
-    out = found.withColumn(text, F.when(F.size("_found") > 0, woven).otherwise(F.col(text)))
-    kinds = F.transform(F.filter("_new", lambda x: x["v"].isNotNull()), lambda x: x["k"])
-    return out.withColumn("_kinds", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_found", "_new")
+    out = out.withColumn(text, F.when(F.size(found) > 0, woven).otherwise(F.col(text)))
+    valid = F.transform(F.filter(F.col(new), lambda x: x["v"].isNotNull()), lambda x: x["k"])
+    out = out.withColumn(kinds, F.coalesce(valid, F.array().cast("array<string>"))).drop(found, new)
+    for name, value in counts.items():
+        out = out.withColumn(name, F.expr(value.format(f"`{kinds}`")))
+    return out.drop(kinds)

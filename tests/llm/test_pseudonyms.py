@@ -112,3 +112,11 @@ def test_awkward_rows_keep_their_columns(spark):
 def test_plan_is_native(spark, sf):
     plan = pseudonyms.pseudonymise(spark.read.parquet(f"{sf}/documents.parquet"), KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@example.org", "x", "y", "z", "w")], "doc_id long, text string, found string, new string, kinds string, _kinds string")
+    out = pseudonyms.pseudonymise(docs, "key")
+    row = out.first()
+    assert out.columns == docs.columns and (row.found, row.new, row.kinds, row["_kinds"]) == ("x", "y", "z", "w") and row.text != "mail a.b@example.org"
+    assert pseudonyms.pseudonymise_counted(docs, "key").first().n_email == 1
