@@ -121,10 +121,12 @@ def fill_from_segments(bins: DataFrame, extents: DataFrame, width: int = 1_000_0
 def fallback_counts(bins: DataFrame, few: int = 10) -> DataFrame:
     """Counts of segments with at most ``few`` bins replaced by the mean counts
     of their allelic cluster."""
-    seg, clu = Window.partitionBy("seg_idx"), Window.partitionBy("allelic_cluster")
-    small = F.count(F.lit(1)).over(seg) <= few
-    pick = lambda c: F.when(F.col("__s"), F.avg(c).over(clu)).otherwise(F.col(c).cast("double"))
-    return bins.withColumn("__s", small).withColumn("min_count", pick("min_count")).withColumn("maj_count", pick("maj_count")).drop("__s")
+    sizes = bins.groupBy(F.col("seg_idx").alias("__seg")).agg((F.count(F.lit(1)) <= few).alias("__few"))
+    means = bins.groupBy(F.col("allelic_cluster").alias("__clu")).agg(F.avg("min_count").alias("__min"), F.avg("maj_count").alias("__maj"))
+    met = bins.join(sizes, F.col("seg_idx").eqNullSafe(F.col("__seg"))).join(means, F.col("allelic_cluster").eqNullSafe(F.col("__clu")))
+    pick = lambda c, mean: F.when(F.col("__few"), F.col(mean)).otherwise(F.col(c).cast("double"))
+    out = met.withColumn("min_count", pick("min_count", "__min")).withColumn("maj_count", pick("maj_count", "__maj"))
+    return out.drop("__seg", "__few", "__clu", "__min", "__maj")
 
 
 def log_length(start: Column, end: Column) -> Column:

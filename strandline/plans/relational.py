@@ -67,21 +67,6 @@ def allele_betaln_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_evidence", F.round("log_evidence", 3))
 
 
-@query("""
-SELECT l_suppkey, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE l_linenumber END)::DOUBLE AS major,
-  sum(CASE WHEN l_linestatus = 'O' THEN l_linenumber ELSE l_quantity END)::DOUBLE AS minor, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS flips
-FROM lineitem GROUP BY l_suppkey
-""")
-def phase_orient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
-    swapped = F.col("l_linestatus") == "O"
-    number = F.col("l_linenumber").cast("double")
-    return items.groupBy("l_suppkey").agg(
-        F.sum(F.when(swapped, F.col("l_quantity")).otherwise(number)).alias("major"), F.sum(F.when(swapped, number).otherwise(F.col("l_quantity"))).alias("minor"),
-        F.count_if(swapped).alias("flips"),
-    )
-
-
 @query("""
 WITH imputed AS (SELECT c_custkey AS site, c_acctbal AS value FROM customer WHERE c_mktsegment = 'BUILDING'),
 backed AS (SELECT o_custkey AS site, max(o_totalprice) AS value FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
@@ -154,23 +139,6 @@ def contained_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.contained(inner, outer, ["o_custkey"], "a", "b", "c", "d", "outer_order", 120, ["inner_order"])
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_discount >= 0.1)")
-def semi_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_discount >= 0.1").select(F.col("l_suppkey").alias("s_suppkey"))
-    return table(spark, sf_dir, "supplier").join(flagged, "s_suppkey", "left_semi").select("s_suppkey", "s_name")
-
-
-@query("""
-SELECT l_orderkey, min(l_linestatus) AS status, arg_min(l_suppkey, l_linenumber::BIGINT * 1000000000 + l_suppkey) AS first_supplier, count(*) AS n
-FROM lineitem GROUP BY 1 HAVING min(l_linestatus) = max(l_linestatus)
-""")
-def unanimous_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.min("l_linestatus").alias("status"), F.max("l_linestatus").alias("__high"), F.min(F.struct("l_linenumber", "l_suppkey"))["l_suppkey"].alias("first_supplier"), F.count(F.lit(1)).alias("n"),
-    )
-    return bins.filter("status = __high").drop("__high")
-
-
 @query("""
 SELECT event_id, round(sum(w * value) OVER five / sum(w) OVER five, 6) AS mean5, round(sum(w * value) OVER eleven / sum(w) OVER eleven, 6) AS mean11
 FROM (SELECT *, 1 + event_id % 7 AS w FROM events)
@@ -274,15 +242,6 @@ def mean_std_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("median_mean", 6).alias("median_mean"), F.round("median_sd", 6).alias("median_sd"), "groups")
 
 
-@query("""
-SELECT allele, l_returnflag, count(*) AS n, sum(CASE WHEN allele = 1 THEN l_quantity ELSE l_linenumber END)::DOUBLE AS total
-FROM (SELECT -1 AS allele, * FROM lineitem UNION ALL SELECT 1, * FROM lineitem) GROUP BY 1, 2
-""")
-def allele_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_linenumber", F.explode(F.array(F.lit(-1), F.lit(1))).alias("allele"))
-    return both.groupBy("allele", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("allele") == 1, F.col("l_quantity")).otherwise(F.col("l_linenumber").cast("double"))).alias("total"))
-
-
 _COMB = """
 segments AS (SELECT l_suppkey, floor(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)) AS a, floor(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END)) AS b FROM lineitem GROUP BY 1),
 levels AS (SELECT na, tau FROM (SELECT unnest(generate_series(1, 7)) AS tau) t, (SELECT unnest(generate_series(1, 7)) AS na) n WHERE 2 * na >= tau AND na <= tau),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.genome import chromosome_lengths, genome_position
-from strandline.operators import allelic_mcmc, copy_ratio, coverage, coverage_mcmc, dirichlet, ordered, regression, snps
+from strandline.operators import allelic_mcmc, copy_ratio, coverage, coverage_mcmc, dirichlet, intervals, ordered, regression, snps
 from strandline.sources import readers
 
 
@@ -124,7 +124,7 @@ class Run:
             place = (F.row_number().over(Window.partitionBy("arm").orderBy("pos")) - 1).cast("long")
             sites = self.sites().withColumn("place", place)
             segs = self.allelic_clusters().select(F.col("arm").alias("__arm"), "seg_start", "seg_end", F.col("segment").alias("seg_idx"), "cluster", "flipped")
-            met = sites.join(F.broadcast(segs), (F.col("arm") == F.col("__arm")) & (F.col("place") >= F.col("seg_start")) & (F.col("place") < F.col("seg_end")))
+            met = intervals.point_in_interval(sites, segs.withColumnRenamed("__arm", "arm"), ["arm"], "place", "seg_start", "seg_end", 1000)
             own = met.withColumn("a", F.when(F.col("flipped"), F.col("maj_count")).otherwise(F.col("min_count"))).withColumn("b", F.when(F.col("flipped"), F.col("min_count")).otherwise(F.col("maj_count")))
             own = own.drop("min_count", "maj_count").withColumnRenamed("a", "min_count").withColumnRenamed("b", "maj_count")
             inside = coverage.site_bins(own, rows)

@@ -134,12 +134,11 @@ pairs AS (SELECT * FROM (SELECT *, lead(start_bp) OVER (PARTITION BY chr ORDER B
 
 @query("WITH " + _PROFILES + """
 SELECT t.chr, greatest(t.start_bp, f.start_bp + 5) AS overlap_start, least(t.end_bp, f.end_bp + 5) AS overlap_end, least(t.end_bp, f.end_bp + 5) - greatest(t.start_bp, f.start_bp + 5) AS length,
-  (1 + t.k % 3)::DOUBLE AS t_major, (t.k % 2)::DOUBLE AS t_minor, round(1 + f.p / 100000, 6) AS f_major, round(f.p / 200000, 6) AS f_minor, t.end_bp - t.start_bp AS event_length
+  (1 + t.k % 3)::DOUBLE AS t_major, (t.k % 2)::DOUBLE AS t_minor, 1 + f.p / 100000 AS f_major, f.p / 200000 AS f_minor, t.end_bp - t.start_bp AS event_length
 FROM pairs t JOIN pairs f ON t.chr = f.chr AND greatest(t.start_bp, f.start_bp + 5) < least(t.end_bp, f.end_bp + 5)
 """)
 def segment_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scoring.pair_segments(*_two_profiles(spark, sf_dir), width=90)
-    return out.withColumn("f_major", F.round("f_major", 6)).withColumn("f_minor", F.round("f_minor", 6))
+    return scoring.pair_segments(*_two_profiles(spark, sf_dir), width=90)
 
 
 @query("WITH " + _PROFILES + """

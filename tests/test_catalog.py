@@ -21,7 +21,7 @@ def duck(sf):
 
 
 def plain(x):
-    return round(float(x), 3) if isinstance(x, float) and math.isfinite(x) else x
+    return round(float(x), 9) if isinstance(x, float) and math.isfinite(x) else x
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
