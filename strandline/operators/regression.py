@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.functions.written import written
 from strandline.functions.special import beta_logcdf, beta_logsf, legendre, logsumexp, np_lgamma, poisson_logpmf, wright_omega
 
 
@@ -24,56 +25,57 @@ class PoissonFit:
     gradient: float
 
 
-def poisson_regression(rows: DataFrame, segment: str, count: str, covariates: list[str], exposure: float = 0.0, offset: str | None = None, prior_mean_sd: float = 10.0, prior_precision: float = 1 / math.sqrt(10), rounds: int = 100, tolerance: float = 1e-5) -> PoissonFit:
+def poisson_regression(rows: DataFrame, segment: str, count: str, covariates: list[str], exposure: float = 0.0, offset: str | None = None, prior_variance: float = 10.0, prior_precision: float = 1 / math.sqrt(10), rounds: int = 100, tolerance: float = 1e-5) -> PoissonFit:
     """log E[count] = mu of the segment + covariates beta + exposure + offset.
 
-    Normal priors on mu and beta. Newton steps: one pass gives, for each
+    Normal priors: of variance ``prior_variance`` on mu, of precision
+    ``prior_precision`` on beta. Newton steps: one pass gives, for each
     segment, sums of residuals and of expectations (with covariates), and for
     all rows the covariance sums. The Hessian is diagonal in the segments, so
-    they are eliminated and a system of the size of beta is left, solved on
-    the driver; segments stay a table throughout. Steps are clipped to 1.
+    they are eliminated, again by sums: one row of the size of beta squared
+    comes to the driver, which solves for beta. Segments stay a table, written
+    down each round, and so are the rows once. Steps are clipped to 1.
     """
-    spark = rows.sparkSession
     p = len(covariates)
-    base = rows.select(
+    base = written(rows.select(
         F.col(segment).alias("__s"), F.col(count).cast("double").alias("__r"), *[F.col(c).cast("double").alias(f"__c{k}") for k, c in enumerate(covariates)],
         (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("__o"),
-    )
-    start = base.groupBy("__s").agg(F.log(F.avg("__r") + 1e-3).alias("v"))
-    mu = {r["__s"]: r["v"] - exposure for r in start.collect()}
-    order = sorted(mu)
-    place = {s: k for k, s in enumerate(order)}
-    m = np.array([mu[s] for s in order])
+    ), "poisson-rows")
+    mu = written(base.groupBy("__s").agg((F.log(F.avg("__r") + 1e-3) - exposure).alias("m")), "poisson-means")
     beta, gradient, step = np.zeros(p), math.inf, 0
-    inverse = 1.0 / prior_mean_sd**2
-    sums = [F.sum("__d").alias("d"), F.sum("__e").alias("e")]
-    sums += [F.sum(F.col("__e") * F.col(f"__c{k}")).alias(f"ec{k}") for k in range(p)] + [F.sum(F.col("__d") * F.col(f"__c{k}")).alias(f"dc{k}") for k in range(p)]
-    sums += [F.sum(F.col("__e") * F.col(f"__c{j}") * F.col(f"__c{k}")).alias(f"ecc{j}_{k}") for j in range(p) for k in range(j, p)]
+    inverse = 1.0 / prior_variance
+    pairs = [(j, k) for j in range(p) for k in range(j, p)]
+    e, d, c = F.col("__e"), F.col("__d"), [F.col(f"__c{k}") for k in range(p)]
+    sums = [F.sum(d).alias("d"), F.sum(e).alias("e"), *[F.sum(e * c[k]).alias(f"ec{k}") for k in range(p)], *[F.sum(d * c[k]).alias(f"dc{k}") for k in range(p)], *[F.sum(e * c[j] * c[k]).alias(f"ecc{j}_{k}") for j, k in pairs]]
+    g, h = F.col("d") - F.col("m") * inverse, F.col("e") + inverse
+    ec = [F.col(f"ec{k}") for k in range(p)]
+    schur = [F.sum(g * g).alias("gg"), *[F.sum(f"dc{k}").alias(f"d{k}") for k in range(p)], *[F.sum(ec[k] * g / h).alias(f"g{k}") for k in range(p)], *[F.sum(F.col(f"ecc{j}_{k}") - ec[j] * ec[k] / h).alias(f"h{j}_{k}") for j, k in pairs]]
     for step in range(1, rounds + 1):
-        means = spark.createDataFrame([(s, float(m[place[s]])) for s in order], f"__s {dict(base.dtypes)['__s']}, __m double")
-        linear = F.col("__m") + F.col("__o") + F.lit(float(exposure))
+        linear = F.col("m") + F.col("__o") + F.lit(float(exposure))
         for k in range(p):
-            linear = linear + F.lit(float(beta[k])) * F.col(f"__c{k}")
-        found = base.join(means, "__s").withColumn("__e", F.exp(F.least(linear, F.lit(700.0)))).withColumn("__d", F.col("__r") - F.col("__e")).groupBy("__s").agg(*sums).toPandas().set_index("__s").loc[order]
-        g_mu = found["d"].to_numpy() - m * inverse
-        h_mu = found["e"].to_numpy() + inverse
-        cross = found[[f"ec{k}" for k in range(p)]].to_numpy().reshape(-1, p)
-        g_beta = np.array([found[f"dc{k}"].sum() for k in range(p)]) - prior_precision * beta
-        h_beta = np.eye(p) * prior_precision
-        for j in range(p):
-            for k in range(j, p):
-                total = found[f"ecc{j}_{k}"].sum()
-                h_beta[j, k] += total
-                h_beta[k, j] += total if j != k else 0
-        gradient = float(np.sqrt((g_mu**2).sum() + (g_beta**2).sum()))
+            linear = linear + F.lit(float(beta[k])) * c[k]
+        found = base.join(mu, "__s").withColumn("__e", F.exp(F.least(linear, F.lit(700.0)))).withColumn("__d", F.col("__r") - e)
+        found = written(found.groupBy("__s").agg(F.first("m").alias("m"), *sums), "poisson-sums")
+        total = found.agg(*schur).first()
+        if total["gg"] is None:  # no rows
+            break
+        g_beta = np.array([total[f"d{k}"] for k in range(p)]) - prior_precision * beta
+        gradient = float(np.sqrt(total["gg"] + (g_beta**2).sum()))
         if gradient < tolerance:
             break
-        d_beta = np.linalg.solve(h_beta - cross.T @ (cross / h_mu[:, None]), g_beta - cross.T @ (g_mu / h_mu)) if p else np.zeros(0)
-        d_mu = (g_mu - cross @ d_beta) / h_mu
-        largest = max([1.0, *np.abs(d_beta), *np.abs(d_mu)])
-        beta, m = beta + d_beta / largest, m + d_mu / largest
-    table = spark.createDataFrame([(s, float(m[place[s]])) for s in order], f"{segment} {dict(base.dtypes)['__s']}, mu double")
-    return PoissonFit(beta, table, step, gradient)
+        h_beta = np.eye(p) * prior_precision
+        for j, k in pairs:
+            h_beta[j, k] += total[f"h{j}_{k}"]
+            h_beta[k, j] = h_beta[j, k]
+        d_beta = np.linalg.solve(h_beta, g_beta - np.array([total[f"g{k}"] for k in range(p)])) if p else np.zeros(0)
+        d_mu = g
+        for k in range(p):
+            d_mu = d_mu - ec[k] * F.lit(float(d_beta[k]))
+        moves = found.select("__s", "m", (d_mu / h).alias("move"))
+        largest = max([1.0, *np.abs(d_beta), moves.agg(F.max(F.abs("move"))).first()[0]])
+        beta = beta + d_beta / largest
+        mu = written(moves.select("__s", (F.col("m") + F.col("move") / F.lit(float(largest))).alias("m")), "poisson-means")
+    return PoissonFit(beta, mu.select(F.col("__s").alias(segment), F.col("m").alias("mu")), step, gradient)
 
 
 # -- log-normal Poisson -------------------------------------------------------------

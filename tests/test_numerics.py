@@ -72,6 +72,26 @@ def test_poisson_regression_recovers_planted_values(spark):
     assert [r.mu for r in fit.mu.orderBy("seg").collect()] == pytest.approx([1.0, 2.0, 3.5], abs=0.06)
 
 
+def test_poisson_regression_equals_plain_newton(spark):
+    """The mode under the priors, by Newton steps over the whole design; one
+    segment of few counts, where the prior of mu has a say."""
+    rng = np.random.default_rng(12)
+    seg = np.repeat([0, 1, 2], [40, 25, 3])
+    x = rng.normal(0, 0.4, (len(seg), 2))
+    r = np.array([*rng.poisson(np.exp(2 + x[:65] @ [0.5, -0.3])), 0, 0, 1], dtype=float)
+    design = np.column_stack([np.eye(3)[seg], x])
+    prior = np.array([0.1] * 3 + [1 / math.sqrt(10)] * 2)
+    w = np.zeros(5)
+    for _ in range(200):
+        rate = np.exp(design @ w)
+        move = np.linalg.solve(design.T @ (design * rate[:, None]) + np.diag(prior), design.T @ (r - rate) - prior * w)
+        w += move / max(1.0, np.abs(move).max())
+    rows = spark.createDataFrame([(int(s), float(n), float(a), float(b)) for s, n, (a, b) in zip(seg, r, x)], "seg int, x double, a double, b double")
+    fit = regression.poisson_regression(rows, "seg", "x", ["a", "b"])
+    assert fit.beta == pytest.approx(w[3:], abs=1e-6)
+    assert [m.mu for m in fit.mu.orderBy("seg").collect()] == pytest.approx(w[:3].tolist(), abs=1e-6)
+
+
 def test_outliers(spark):
     rng = np.random.default_rng(7)
     values = rng.negative_binomial(20, 0.2, 3000).tolist() + [5000, 9000]
