@@ -3,9 +3,12 @@
 Documents are sets of word n-grams; two link at ``percent`` hundredths of
 similarity. The join filters by prefixes: with each set in one global order,
 rare n-grams first, sets that link share an n-gram in the first
-n - ceil(t n) + 1 of each. The order comes from a table of counts over hashed
-n-grams of all documents; collisions in it cost speed, never a link, as any
-total order is right.
+n - ceil(t n) + 1 of each. The order comes from two tables of counts of fixed
+size over all documents, of hashed n-grams and of hashed words. An n-gram whose
+counter stands out from its table's load is frequent and comes late, by its
+count; among the others, whose counters are mostly collisions once the corpus
+is large, those of rarer words come first, which chance repeats least.
+Collisions cost speed, never a link, as any total order is right.
 
 1. Equal sets are one class; classes are named by a 128-bit digest of their
    set. N-grams are 64-bit hashes; two of them would have to collide within
@@ -45,12 +48,14 @@ from pyspark.sql.window import Window
 from strandline.llm.batches import encoded, map_texts, tidy
 from strandline.llm.components import components
 from strandline.llm.shared import stored
-from strandline.llm.textkit import shingle_set, word_hashes
+from strandline.llm.textkit import shingle_set, window_hashes, word_hashes
 
 WIDTH, PERCENT = 4, 85
 #: Counters of the table of n-gram counts, as a power of two. Its size is
 #: fixed, a byte a counter where it is broadcast; it sets the order alone.
 COUNTER_BITS = 24
+#: The same of words, in the order of n-grams that are not frequent.
+WORD_BITS = 20
 _SLICES = 512
 #: Bytes of text in a piece of a block, and the share of them that pivots add.
 PIECE_BYTES, PIVOTS = 4 << 20, 0.25
@@ -66,17 +71,24 @@ def class_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def tie_of(name: bytes) -> int:
+    """64 bits of a class's name: enough for candidates, which are verified."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
 def classes(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
-    """Per document its keys, ``__n`` (size of its set) and ``__class``."""
+    """Per document its keys, ``__n`` (size of its set), ``__class`` and
+    ``__tie``."""
 
     def make():
         def of(data: bytes) -> tuple:
             s = set_of(data, width)
-            return len(s), class_of(s)
+            name = class_of(s)
+            return len(s), name, tie_of(name)
 
         return of
 
-    return map_texts(docs, keys, text, make, [("__n", pa.int64(), "bigint"), ("__class", pa.binary(), "binary")])
+    return map_texts(docs, keys, text, make, [("__n", pa.int64(), "bigint"), ("__class", pa.binary(), "binary"), ("__tie", pa.int64(), "bigint")])
 
 
 # -- the order of n-grams ----------------------------------------------------------
@@ -92,47 +104,78 @@ def _codes(counts: np.ndarray) -> np.ndarray:
 _COUNTS = np.where(np.arange(256) < 128, np.arange(256), 2.0 ** (7 + (np.arange(256) - 128) / 4))
 
 
-def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS) -> np.ndarray:
-    """Codes of the number of sets that hold an n-gram, by its upper bits."""
+class Order:
+    """The order of n-grams: codes of the counts of hashed n-grams and words."""
+
+    def __init__(self, grams: np.ndarray, words: np.ndarray, load: float) -> None:
+        self.grams, self.words = grams, words
+        self.least = int(_codes(np.array([4 * load + 16]))[0])  # what is called frequent
+
+    def prefix(self, data: bytes, width: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(set, its prefix in the order, about the count of each of those)."""
+        words = word_hashes(data.lower())
+        if len(words) < width:
+            s = shingle_set(words, width)
+            return s, s, np.ones(len(s))
+        s, first = np.unique(window_hashes(words, width), return_index=True)
+        code = self.grams[(s >> np.uint64(64 - _bits(self.grams))).astype(np.int64)]
+        own = np.concatenate([[0], np.cumsum(self.words[(words >> np.uint64(64 - _bits(self.words))).astype(np.int64)], dtype=np.int64)])
+        rare = (own[width:] - own[:-width])[first]
+        order = np.lexsort((rare, np.where(code > self.least, code, 0)))[: prefix_length(len(s), percent)]
+        return s, s[order], _COUNTS[code[order]]
+
 
+def _bits(table: np.ndarray) -> int:
+    return len(table).bit_length() - 1
+
+
+def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS, word_bits: int = WORD_BITS) -> Order:
+    """The order by the sets that hold an n-gram and the places of a word."""
     slices = min(_SLICES, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, size = np.zeros(1 << bits, dtype=np.uint16), [], 0
+        grams, words, held, size = np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << word_bits, dtype=np.uint32), [], 0
 
         def add() -> None:
             nonlocal held, size
             if held:
                 at, n = np.unique(np.concatenate(held), return_counts=True)
-                table[at] = np.minimum(table[at] + n, 0xFFFF)  # so common is common enough
+                grams[at] = np.minimum(grams[at] + n, 0xFFFF)  # so common is common enough
             held, size = [], 0
 
         for batch in batches:
             for data in encoded(batch.column(0)):
-                s = set_of(data, width)
+                own = word_hashes(data.lower())
+                at, n = np.unique((own >> np.uint64(64 - word_bits)).astype(np.uint32), return_counts=True)
+                words[at] += n.astype(np.uint32)
+                s = shingle_set(own, width)
                 held.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(s)
                 if size > 500_000:
                     add()
         add()
-        if table.any():
-            parts = [zlib.compress(x.tobytes(), 1) for x in table.reshape(slices, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts)], names=["part", "counts"])
+        if words.any():
+            parts = [zlib.compress(x.tobytes(), 1) for x in [*grams.reshape(slices, -1), words]]
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices + 1), pa.int32()), pa.array(parts)], names=["part", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint16).astype(np.uint64)
+                kind = np.uint16 if part < slices else np.uint32
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts.as_py()), dtype=kind).astype(np.uint64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()])], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()]), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["part", "counts", "total"])
 
-    kind = "part int, counts binary"
-    found = docs.select(text).mapInArrow(tidy(count), kind).repartition("part").mapInArrow(tidy(total), kind).toLocalIterator()
-    table = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8)
-    for row in found:
-        table[row.part] = np.frombuffer(row.counts, dtype=np.uint8)
-    return table.ravel()
+    parts = docs.select(text).mapInArrow(tidy(count), "part int, counts binary").repartition("part")
+    grams, words, load = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8), np.zeros(1 << word_bits, dtype=np.uint8), 0
+    for row in parts.mapInArrow(tidy(total), "part int, counts binary, total bigint").toLocalIterator():
+        if row.part < slices:
+            grams[row.part] = np.frombuffer(row.counts, dtype=np.uint8)
+            load += row.total
+        else:
+            words[:] = np.frombuffer(row.counts, dtype=np.uint8)
+    return Order(grams.ravel(), words, load / (1 << bits))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -140,31 +183,29 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _ties(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> DataFrame:
-    """Candidate ties (a, b) between classes."""
+    """Candidate ties (a, b) between classes, by ``tie_of`` their names."""
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, width, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = table.value, set()
+        order, seen = table.value, set()
         for batch in batches:
             tokens, names, sizes, counts, salts = [], [], [], [], []
             for data in encoded(batch.column(0)):
-                s = set_of(data, width)
+                s, prefix, common = order.prefix(data, width, percent)
                 if not len(s) or (name := class_of(s)) in seen:
                     continue
                 seen.add(name)
-                own = codes[(s >> np.uint64(64 - bits)).astype(np.int64)]
-                prefix = np.argsort(own, kind="stable")[: prefix_length(len(s), percent)]
-                dealt = 1 + (_COUNTS[own[prefix]] / SALT).astype(np.int64)
-                tokens.append(s[prefix])
-                names.append(name)
+                dealt = 1 + (common / SALT).astype(np.int64)
+                tokens.append(prefix)
+                names.append(tie_of(name))
                 sizes.append(len(s))
                 counts.append(len(prefix))
-                salts.append(np.where(dealt > 1, 1 + int.from_bytes(name[:7], "little") % dealt, 0))
+                salts.append(np.where(dealt > 1, 1 + int.from_bytes(name[8:15], "little") % dealt, 0))
             if tokens:
-                at = pa.array(np.repeat(np.arange(len(names)), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(names, pa.binary()).take(at), pa.array(sizes, pa.int32()).take(at)], names=["token", "salt", "name", "n"])
+                columns = [np.concatenate(tokens).view(np.int64), np.concatenate(salts).astype(np.int32), np.repeat(np.array(names, dtype=np.int64), counts), np.repeat(np.array(sizes, dtype=np.int32), counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "salt", "name", "n"])
 
-    rows = docs.select(text).mapInArrow(tidy(run), "token bigint, salt int, name binary, n int")
+    rows = docs.select(text).mapInArrow(tidy(run), "token bigint, salt int, name bigint, n int")
     before = Window.partitionBy("token", "salt").orderBy("n", "name")
     near = rows.select("*", F.lag("name").over(before).alias("a"), F.lag("n").over(before).alias("m"))
     # each size's first class of each salt, in one order over all salts; one
@@ -381,10 +422,10 @@ def linked_classes(docs: DataFrame, known: DataFrame, text: str = "text", width:
     ``known``: ``classes`` of the documents.
     """
     ties = components(_ties(docs, text, width, percent, counter_bits), "jaccard-ties")
-    blocks = ties.union(ties.select("root", "root").distinct()).toDF("name", "block")
-    sizes = known.groupBy(F.col("__class").alias("name")).agg(F.max("__n").alias("n"))
+    blocks = ties.union(ties.select("root", "root").distinct()).toDF("__tie", "block")
+    sizes = known.groupBy(F.col("__class").alias("name")).agg(F.max("__n").alias("n"), F.max("__tie").alias("__tie"))
     # a word is about seven bytes
-    blocks = stored(blocks.join(sizes, "name").withColumn("bytes", 7 * F.col("n") + 64), "jaccard-blocks")
+    blocks = stored(blocks.join(sizes, "__tie").drop("__tie").withColumn("bytes", 7 * F.col("n") + 64), "jaccard-blocks")
     placed, several = _pieces(blocks, piece_bytes)
     texts = _texts(docs, text, width)
     first = F.array("piece")
