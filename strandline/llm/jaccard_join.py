@@ -27,7 +27,8 @@ Collisions cost speed, never a link, as any total order is right.
    several pieces those outside its largest component meet all pieces within
    the length filter; classes of the largest one are not compared with each
    other again, so a block that is one great group of near copies costs its
-   size and not the square of it.
+   size and not the square of it. Where most lie outside, every two pieces
+   within the length filter meet instead, which sends less.
 
 No pair of equal texts is ever made, and candidates are linear in the rows
 of an n-gram.
@@ -57,6 +58,8 @@ COUNTER_BITS = 24
 #: The same of words, in the order of n-grams that are not frequent.
 WORD_BITS = 20
 _SLICES = 512
+#: Bits of the set of classes whose texts are sent.
+SIEVE_BITS = 25
 #: Bytes of text in a piece of a block, and the share of them that pivots add.
 PIECE_BYTES, PIVOTS = 4 << 20, 0.25
 #: Classes of an n-gram, by its counter, for each salt.
@@ -349,16 +352,49 @@ def _joined(pieces: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(tidy(run), "a binary, b binary")
 
 
-def _texts(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(name, text): a text of each class, once from each task."""
+def _sieve(names: DataFrame, bits: int = SIEVE_BITS) -> np.ndarray:
+    """A bit set of fixed size that has every name: what is not in it need not
+    be sent to meet them."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits >> 3, dtype=np.uint8)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                at = tie_of(x) & (1 << bits) - 1
+                held[at >> 3] |= 1 << (at & 7)
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(held.tobytes(), 1)])], names=["part", "held"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits >> 3, dtype=np.uint8)
+        for batch in batches:
+            for x in batch.column(1):
+                held |= np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8)
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([zlib.compress(held.tobytes(), 1)])], names=["part", "held"])
+
+    kind, out = "part int, held binary", np.zeros(1 << bits >> 3, dtype=np.uint8)
+    some = names.select("name").mapInArrow(gather, kind).withColumn("part", (F.rand(1) * 16).cast("int")).repartition(16, "part").mapInArrow(join, kind)
+    for row in some.toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row.held), dtype=np.uint8)
+    return out
+
+
+def _texts(docs: DataFrame, text: str, width: int, names: DataFrame) -> DataFrame:
+    """(name, text): a text of each class of ``names``, and of few others,
+    once from each task."""
+    shipped, bits = docs.sparkSession.sparkContext.broadcast(_sieve(names)), SIEVE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, held = set(), shipped.value
         for batch in batches:
             names, at = [], []
             for k, data in enumerate(encoded(batch.column(0))):
                 s = set_of(data, width)
-                if len(s) and (name := class_of(s)) not in seen:
+                if not len(s) or (name := class_of(s)) in seen:
+                    continue
+                place = tie_of(name) & (1 << bits) - 1
+                if held[place >> 3] >> (place & 7) & 1:
                     seen.add(name)
                     names.append(name)
                     at.append(k)
@@ -387,7 +423,7 @@ def _pieces(blocks: DataFrame, piece_bytes: int) -> tuple[DataFrame, bool]:
     return blocks.join(cut, ["block", "n"], "left").select(*blocks.columns, F.coalesce(dealt, F.lit(0)).alias("piece"), F.coalesce("count", F.lit(1)).alias("pieces")), True
 
 
-def _meetings(found: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int, piece_bytes: int) -> DataFrame | None:
+def _meetings(found: DataFrame, links: DataFrame, docs: DataFrame, text: str, width: int, percent: int, piece_bytes: int) -> DataFrame | None:
     """(a, b): links between the pieces of blocks; None where no class lies
     outside the largest component of its block.
 
@@ -407,13 +443,22 @@ def _meetings(found: DataFrame, links: DataFrame, texts: DataFrame, width: int,
     if outer.isEmpty():
         return None
     lots = outer.groupBy("block", F.col("lot").alias("first")).agg(F.min("out_low").alias("out_low"), F.max("out_high").alias("out_high"))
+    # lots send themselves and all pieces once a lot; where they are many, every two pieces are less
+    count = spans.groupBy("block").agg(F.max("pieces").alias("pieces")).join(outer.groupBy("block").agg((F.max("lot") + 1).alias("lots")), "block")
+    chosen = stored(count.select("block", (2 * F.col("lots") < F.col("pieces") - 1).alias("by_lot")), "jaccard-choice")
+    spans = spans.join(chosen, "block")
+    right = spans.select("block", "by_lot", F.col("piece").alias("second"), "low", "high")
     near = (100 * F.col("out_high") >= percent * F.col("low")) & (100 * F.col("high") >= percent * F.col("out_low"))
-    meet = stored(spans.select("block", F.col("piece").alias("second"), "low", "high").join(lots, "block").filter(near).select("block", "first", "second"), "jaccard-meetings")
-    inner = rooted.join(meet.withColumn("piece", F.col("second")), ["block", "piece"])
-    others = rooted.filter("outside").join(outer.select("block", "piece", F.col("lot").alias("first")), ["block", "piece"]).join(meet, ["block", "first"])
+    left = spans.select("block", F.col("piece").alias("first"), F.col("low").alias("out_low"), F.col("high").alias("out_high"))
+    meet = right.filter("by_lot").join(lots, "block").union(right.filter("not by_lot").join(left, "block").filter("first < second"))
+    meet = stored(meet.filter(near).select("block", "first", "second", "by_lot"), "jaccard-meetings")
+    rooted = rooted.join(chosen, "block").withColumn("outside", F.col("outside") & F.col("by_lot")).drop("by_lot")
     columns = ["block", "first", "second", "name", "root", "piece", "outside"]
-    tasks = inner.select(*columns).union(others.select(*columns))
-    return _joined(tasks.join(texts, "name"), width, percent)
+    inner = rooted.join(meet.withColumn("piece", F.col("second")), ["block", "piece"])
+    others = rooted.filter("outside").join(outer.select("block", "piece", F.col("lot").alias("first")), ["block", "piece"]).join(meet.filter("by_lot"), ["block", "first"])
+    pairs = rooted.join(meet.filter("not by_lot").withColumn("piece", F.col("first")), ["block", "piece"])
+    tasks = inner.select(*columns).union(others.select(*columns)).union(pairs.select(*columns))
+    return _joined(tasks.join(_texts(docs, text, width, found), "name"), width, percent)
 
 
 def linked_classes(docs: DataFrame, known: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, counter_bits: int = COUNTER_BITS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -427,15 +472,14 @@ def linked_classes(docs: DataFrame, known: DataFrame, text: str = "text", width:
     # a word is about seven bytes
     blocks = stored(blocks.join(sizes, "__tie").drop("__tie").withColumn("bytes", 7 * F.col("n") + 64), "jaccard-blocks")
     placed, several = _pieces(blocks, piece_bytes)
-    texts = _texts(docs, text, width)
     first = F.array("piece")
     if several:
         spread = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "name"), n)
         pivot = (F.col("pieces") > 1) & (spread(1, F.col("pieces").cast("long")) == 0) & (spread(2, F.lit(1 << 20)) < int(PIVOTS * (1 << 20)))
         first = F.when(pivot, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(first)
     tasks = placed.select("block", F.explode(first).alias("first"), F.lit(None).cast("int").alias("second"), "name", F.lit(None).cast("binary").alias("root"), "piece", F.lit(False).alias("outside"))
-    links = components(_joined(tasks.join(texts, "name"), width, percent), "jaccard-links")
-    if several and (more := _meetings(placed.filter("pieces > 1"), links, texts, width, percent, piece_bytes)) is not None:
+    links = components(_joined(tasks.join(_texts(docs, text, width, blocks), "name"), width, percent), "jaccard-links")
+    if several and (more := _meetings(placed.filter("pieces > 1"), links, docs, text, width, percent, piece_bytes)) is not None:
         links = components(links.toDF("a", "b").union(more), "jaccard-meetings")
     return links
 
