@@ -4,11 +4,11 @@ Documents are sets of word n-grams; two link at ``percent`` hundredths of
 similarity. The join filters by prefixes: with each set in one global order,
 rare n-grams first, sets that link share an n-gram in the first
 n - ceil(t n) + 1 of each. The order comes from two tables of counts of fixed
-size over all documents, of hashed n-grams and of hashed words. An n-gram whose
-counter stands out from its table's load is frequent and comes late, by its
-count; among the others, whose counters are mostly collisions once the corpus
-is large, those of rarer words come first, which chance repeats least.
-Collisions cost speed, never a link, as any total order is right.
+size over all documents, of hashed n-grams and of hashed words. N-grams come
+by their counter, a quarter of an octave apart above 127; among those of one
+counter, and once the corpus is large most counters are alike by collisions,
+those of rarer words come first, which chance repeats least. Collisions cost
+speed, never a link, as any total order is right.
 
 1. Equal sets are one class; classes are named by a 128-bit digest of their
    set. N-grams are 64-bit hashes; two of them would have to collide within
@@ -55,7 +55,7 @@ WIDTH, PERCENT = 4, 85
 #: Counters of the table of n-gram counts, as a power of two. Its size is
 #: fixed, a byte a counter where it is broadcast; it sets the order alone.
 COUNTER_BITS = 24
-#: The same of words, in the order of n-grams that are not frequent.
+#: The same of words, in the order of n-grams of one counter.
 WORD_BITS = 20
 _SLICES = 512
 #: Bits of the set of classes whose texts are sent.
@@ -110,9 +110,8 @@ _COUNTS = np.where(np.arange(256) < 128, np.arange(256), 2.0 ** (7 + (np.arange(
 class Order:
     """The order of n-grams: codes of the counts of hashed n-grams and words."""
 
-    def __init__(self, grams: np.ndarray, words: np.ndarray, load: float) -> None:
+    def __init__(self, grams: np.ndarray, words: np.ndarray) -> None:
         self.grams, self.words = grams, words
-        self.least = int(_codes(np.array([4 * load + 16]))[0])  # what is called frequent
 
     def prefix(self, data: bytes, width: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(set, its prefix in the order, about the count of each of those)."""
@@ -124,7 +123,7 @@ class Order:
         code = self.grams[(s >> np.uint64(64 - _bits(self.grams))).astype(np.int64)]
         own = np.concatenate([[0], np.cumsum(self.words[(words >> np.uint64(64 - _bits(self.words))).astype(np.int64)], dtype=np.int64)])
         rare = (own[width:] - own[:-width])[first]
-        order = np.lexsort((rare, np.where(code > self.least, code, 0)))[: prefix_length(len(s), percent)]
+        order = np.lexsort((rare, code))[: prefix_length(len(s), percent)]
         return s, s[order], _COUNTS[code[order]]
 
 
@@ -168,17 +167,16 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS, wor
                 kind = np.uint16 if part < slices else np.uint32
                 sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts.as_py()), dtype=kind).astype(np.uint64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()]), pa.array([int(x.sum()) for x in sums.values()], pa.int64())], names=["part", "counts", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_codes(x).tobytes() for x in sums.values()])], names=["part", "counts"])
 
     parts = docs.select(text).mapInArrow(tidy(count), "part int, counts binary").repartition("part")
-    grams, words, load = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8), np.zeros(1 << word_bits, dtype=np.uint8), 0
-    for row in parts.mapInArrow(tidy(total), "part int, counts binary, total bigint").toLocalIterator():
+    grams, words = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8), np.zeros(1 << word_bits, dtype=np.uint8)
+    for row in parts.mapInArrow(tidy(total), "part int, counts binary").toLocalIterator():
         if row.part < slices:
             grams[row.part] = np.frombuffer(row.counts, dtype=np.uint8)
-            load += row.total
         else:
             words[:] = np.frombuffer(row.counts, dtype=np.uint8)
-    return Order(grams.ravel(), words, load / (1 << bits))
+    return Order(grams.ravel(), words)
 
 
 def prefix_length(n: int, percent: int) -> int:
