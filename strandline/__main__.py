@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from strandline.plans.sample import Inputs, Run, Settings
 
-STAGES = ("arms", "sites", "chunked_segments", "allelic_clusters", "bins", "coverage_segments", "segments")
+STAGES = ("arms", "sites", "chunked_segments", "allelic_clusters", "bins", "coverage_segments", "segment_counts", "allelic_ratios", "optimal_fit", "segments")
 
 
 def main(arguments: list[str] | None = None) -> int:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.special import betaln, normal_logpdf
+from strandline.operators.aggregates import best_row
 
 MOST_COPIES = 7
 
@@ -41,27 +42,58 @@ def purity_comb(segments: DataFrame, major: str, minor: str, points: int = 10_00
     or 1 scores nothing. With ``weight``, segments count by it.
     """
     grid = segments.withColumn("purity", F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k / F.lit(points + 1.0))))
+    part = _best_density(F.col("purity"), F.col(major), F.col(minor), most) * (F.col(weight) if weight else F.lit(1.0))
+    return grid.withColumn("__part", part).groupBy("purity").agg(F.sum("__part").alias("score"))
+
+
+def _best_density(purity: Column, major: Column, minor: Column, most: int) -> Column:
+    """Log Beta density of the counts at their likeliest level; null where
+    every level's fraction is 0 or 1."""
     # the normaliser of the density does not depend on the level
-    a, b = F.col(major).cast("double") + 1, F.col(minor).cast("double") + 1
-    rows = grid.withColumn("__norm", betaln(a, b))
+    a, b = major.cast("double") + 1, minor.cast("double") + 1
 
     def density(na: int, tau: int) -> Column:
-        x = imbalance(F.col("purity"), F.lit(float(na)), F.lit(float(tau)))
+        x = imbalance(purity, F.lit(float(na)), F.lit(float(tau)))
         return F.when((x > 0) & (x < 1), (a - 1) * F.log(x) + (b - 1) * F.log(1 - x))
 
-    best = F.array_max(F.array(*[density(na, tau) for na, tau in levels(most)])) - F.col("__norm")
-    part = F.col("__best") * (F.col(weight) if weight else F.lit(1.0))
-    return rows.withColumn("__best", best).groupBy("purity").agg(F.sum(part).alias("score"))
+    return F.array_max(F.array(*[density(na, tau) for na, tau in levels(most)])) - betaln(a, b)
+
+
+def scored_at(segments: DataFrame, major: str, minor: str, purity: float, most: int = MOST_COPIES) -> DataFrame:
+    """With ``score``: the log density at the likeliest level of a purity."""
+    return segments.withColumn("score", _best_density(F.lit(float(purity)), F.col(major), F.col(minor), most))
+
+
+def fit_purity(segments: DataFrame, major: str, minor: str, points: int = 10_000, most: int = MOST_COPIES) -> float | None:
+    """The purity of the best score, the smallest of equal ones; None with
+    fewer than two segments, which fit any purity."""
+    if segments.limit(2).count() < 2:
+        return None
+    top = best_row(purity_comb(segments, major, minor, points, most).filter("score is not null"), [], "score", ["purity"]).first()
+    return top["purity"]
 
 
-def coverage_comb(clusters: DataFrame, mean: str, sd: str, factors: list[float], most: int = 5) -> DataFrame:
-    """(k, score): clusters against copy numbers 0 to ``most`` times k.
+def coverage_comb(clusters: DataFrame, mean: str, sd: str, factors: list[float], most: int = 5, purity: float = 1.0, weight: str | None = None) -> DataFrame:
+    """(k, score): clusters against copy numbers 0 to ``most`` times k, in a
+    mixture with normal cells, which have one copy of each allele.
 
-    The score of a cluster is its best Gaussian log density.
+    The score of a cluster is its best Gaussian log density. With ``weight``,
+    clusters count by it.
     """
     grid = clusters.withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in factors])))
-    best = F.array_max(F.array(*[normal_logpdf(F.col(mean), F.lit(float(c)) * F.col("k"), F.col(sd)) for c in range(most + 1)]))
-    return grid.withColumn("__best", best).groupBy("k").agg(F.sum("__best").alias("score"))
+    best = F.array_max(F.array(*[normal_logpdf(F.col(mean), F.lit((1 - purity) + float(c) * purity) * F.col("k"), F.col(sd)) for c in range(most + 1)]))
+    part = best * (F.col(weight) if weight else F.lit(1.0))
+    return grid.withColumn("__best", part).groupBy("k").agg(F.sum("__best").alias("score"))
+
+
+def fit_scale(clusters: DataFrame, mean: str, sd: str, purity: float, steps: int = 400, most: int = 5, weight: str | None = None) -> float | None:
+    """The factor of the best score, among ``steps`` up to twice the median
+    mean; the smallest of equal ones. None without clusters."""
+    middle = clusters.agg(F.median(mean)).first()[0]
+    if middle is None:
+        return None
+    factors = [2 * middle * (k + 1) / steps for k in range(steps)]
+    return best_row(coverage_comb(clusters, mean, sd, factors, most, purity, weight), [], "score", ["k"]).first()["k"]
 
 
 def copy_number(mean: Column, k: Column, most: int = 5) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.genome import chromosome_lengths, genome_position
-from strandline.operators import allelic_mcmc, copy_ratio, coverage, coverage_mcmc, dirichlet, intervals, ordered, regression, snps
+from strandline.operators import allelic_mcmc, conversion, copy_ratio, coverage, coverage_mcmc, dirichlet, intervals, ordered, purity, regression, snps
 from strandline.sources import readers
 
 
@@ -151,23 +151,66 @@ class Run:
 
         return self._stage("coverage_segments", make)
 
-    def segments(self) -> DataFrame:
-        """Exported segments, rescaled to a mean of two copies."""
+    def _segment_bins(self) -> DataFrame:
+        place = (F.row_number().over(Window.partitionBy("seg_idx").orderBy("start_g")) - 1).cast("long")
+        segs = self.coverage_segments().select(F.col("seg_idx").alias("__s"), "seg_start", "seg_end", "seg_id", "mu", "log_sigma")
+        rows = self.bins().withColumn("place", place)
+        return rows.join(segs, (F.col("seg_idx") == F.col("__s")) & (F.col("place") >= F.col("seg_start")) & (F.col("place") < F.col("seg_end")))
+
+    def segment_counts(self) -> DataFrame:
+        """(seg_id, mu, sigma, a, b, bins): coverage and the counts of the
+        minor and major allele of each segment."""
+
+        def make() -> DataFrame:
+            stats = self._segment_bins().groupBy("seg_id").agg(F.first("mu").alias("mu"), F.greatest(F.exp(F.first("log_sigma")), F.lit(1e-3)).alias("sigma"), F.sum("min_count").alias("a"), F.sum("maj_count").alias("b"), F.count(F.lit(1)).alias("bins"))
+            return stats.fillna(0, ["a", "b"])
+
+        return self._stage("segment_counts", make)
+
+    def allelic_ratios(self) -> DataFrame:
+        """(unit, seg_id, allele, n, mean, ssd, cluster, cluster_mean,
+        cluster_sd): copy ratios of alleles, about one, and their clusters."""
 
         def make() -> DataFrame:
-            place = (F.row_number().over(Window.partitionBy("seg_idx").orderBy("start_g")) - 1).cast("long")
-            segs = self.coverage_segments().select(F.col("seg_idx").alias("__s"), "seg_start", "seg_end", "seg_id", "mu", "log_sigma")
-            rows = self.bins().withColumn("place", place)
-            rows = rows.join(segs, (F.col("seg_idx") == F.col("__s")) & (F.col("place") >= F.col("seg_start")) & (F.col("place") < F.col("seg_end")))
-            stats = rows.groupBy("seg_id").agg(F.first("mu").alias("mu"), F.greatest(F.exp(F.first("log_sigma")), F.lit(1e-3)).alias("sigma"), F.sum("min_count").alias("a"), F.sum("maj_count").alias("b"), F.count(F.lit(1)).alias("bins"))
-            both = copy_ratio.allele_rows(stats.fillna(0, ["a", "b"])).withColumn("own", F.when(F.col("allele") < 0, F.col("a")).otherwise(F.col("b"))).withColumn("other", F.when(F.col("allele") < 0, F.col("b")).otherwise(F.col("a")))
+            both = copy_ratio.allele_rows(self.segment_counts()).withColumn("own", F.when(F.col("allele") < 0, F.col("a")).otherwise(F.col("b"))).withColumn("other", F.when(F.col("allele") < 0, F.col("b")).otherwise(F.col("a")))
             seen = copy_ratio.pseudo_observations(both.withColumn("sample", F.lit(1)).withColumnRenamed("seg_id", "segment"), ["sample"], self.settings.seed)
             unit = F.col("segment") * 2 + F.when(F.col("allele") > 0, 1).otherwise(0)
             scale = float(seen.agg(F.avg("mean")).first()[0] or 1.0)
             ready = seen.withColumn("unit", unit).withColumn("mean", F.col("mean") / scale).withColumn("ssd", F.col("ssd") / scale**2)
             fit = dirichlet.copy_ratio_clusters(ready, ["sample"], "unit", "n", "mean", "ssd", self.settings.ratio_iterations, self.settings.seed, alpha=2.0, beta=0.02)
-            side = lambda k, name: fit.filter(F.col("unit") % 2 == k).select(F.floor(F.col("unit") / 2).alias("seg_id"), F.col("cluster").alias(f"{name}_cluster"), F.col("cluster_mean").alias(f"mu_{name}"), F.col("cluster_sd").alias(f"sigma_{name}"))
-            return copy_ratio.export_segments(rows.select("chr", "start", "end", "seg_id").join(side(0, "minor"), "seg_id").join(side(1, "major"), "seg_id"))
+            return ready.select("unit", F.col("segment").alias("seg_id"), "allele", "n", "mean", "ssd").join(fit.select("unit", "cluster", "cluster_mean", "cluster_sd"), "unit")
+
+        return self._stage("allelic_ratios", make)
+
+    def optimal_fit(self) -> DataFrame:
+        """One row (purity, k, threshold, segments, clonal): the purity that
+        explains the segments' allele counts by whole copies, the score above
+        which a segment is clonal, and the copy ratio k of one copy among the
+        clusters of clonal segments. With fewer than two segments purity, k
+        and threshold are null and none is clonal."""
+
+        def make() -> DataFrame:
+            counts = self.segment_counts().filter("a + b > 0").select("seg_id", F.greatest("a", "b").alias("major"), F.least("a", "b").alias("minor"), "bins")
+            total, kind = counts.count(), "purity double, k double, threshold double, segments long, clonal long"
+            best = purity.fit_purity(counts, "major", "minor")
+            if best is None:
+                return self.spark.createDataFrame([(None, None, None, total, 0)], kind)
+            scored = purity.scored_at(counts, "major", "minor", best)
+            threshold = conversion.clonal_threshold(scored, "score", "bins")
+            clonal = scored.filter(F.col("score") > F.lit(threshold)).select("seg_id")
+            clusters = self.allelic_ratios().join(clonal, "seg_id", "left_semi").groupBy("cluster").agg(F.first("cluster_mean").alias("mean"), F.greatest(F.first("cluster_sd"), F.lit(1e-3)).alias("sd"), F.sum("n").alias("n"))
+            k = purity.fit_scale(clusters, "mean", "sd", best, weight="n")
+            return self.spark.createDataFrame([(best, k, threshold, total, clonal.count())], kind)
+
+        return self._stage("optimal_fit", make)
+
+    def segments(self) -> DataFrame:
+        """Exported segments, rescaled to a mean of two copies."""
+
+        def make() -> DataFrame:
+            fit = self.allelic_ratios()
+            side = lambda k, name: fit.filter(F.col("unit") % 2 == k).select("seg_id", F.col("cluster").alias(f"{name}_cluster"), F.col("cluster_mean").alias(f"mu_{name}"), F.col("cluster_sd").alias(f"sigma_{name}"))
+            return copy_ratio.export_segments(self._segment_bins().select("chr", "start", "end", "seg_id").join(side(0, "minor"), "seg_id").join(side(1, "major"), "seg_id"))
 
         return self._stage("segments", make)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import conversion, copy_ratio, coverage, intervals, ordered, scoring, snps
+from strandline.operators import conversion, copy_ratio, coverage, intervals, ordered, purity, scoring, snps
 from strandline.plans.relational import micros, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,3 +393,26 @@ def points_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = _days(spark, sf_dir)
     spans = days.filter("priority = '1-URGENT'").select("chr", F.col("bin_id").alias("span"), F.col("start").alias("low"), (F.col("start") + 40).alias("high"))
     return intervals.point_in_interval(days.select("bin_id", "chr", "start"), spans, ["chr"], "start", "low", "high", 40).select("bin_id", "span")
+
+
+@query("""
+WITH segments AS (SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END) AS a, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS b FROM lineitem GROUP BY 1),
+levels AS (SELECT na, tau FROM (SELECT unnest(generate_series(1, 7)) AS tau) t, (SELECT unnest(generate_series(1, 7)) AS na) n WHERE 2 * na >= tau AND na <= tau),
+fractions AS (SELECT (1 + 0.6::DOUBLE * (na - 1)) / (2 * (1 - 0.6::DOUBLE) + tau * 0.6::DOUBLE) AS x FROM levels)
+SELECT l_suppkey, a AS n_major, b AS n_minor, round(max(a * ln(x) + b * ln(1 - x)) - any_value(lgamma(a + 1) + lgamma(b + 1) - lgamma(a + b + 2)), 6) AS score FROM segments, fractions GROUP BY ALL
+""")
+def scores_at_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    returned = F.col("l_returnflag") == "R"
+    counts = _items(spark, sf_dir).groupBy("l_suppkey").agg(F.count(F.when(~returned, 1)).alias("n_major"), F.count(F.when(returned, 1)).alias("n_minor"))
+    return purity.scored_at(counts, "n_major", "n_minor", 0.6).withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH clusters AS (SELECT l_linenumber, avg(l_quantity) AS m, 1 + stddev_pop(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1),
+grid AS (SELECT 1 + k / 4.0::DOUBLE AS k FROM (SELECT unnest(generate_series(0, 60)) AS k)),
+best AS (SELECT k, n * max(-0.5 * ((m - (0.3 + 0.7 * c::DOUBLE) * k) / s) * ((m - (0.3 + 0.7 * c::DOUBLE) * k) / s) - ln(s) - 0.5 * ln(2 * pi())) AS p FROM clusters, grid, (SELECT unnest(generate_series(0, 5)) AS c) GROUP BY k, l_linenumber, n)
+SELECT k, round(sum(p), 3) AS score FROM best GROUP BY k
+""")
+def coverage_comb_at_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = _items(spark, sf_dir).groupBy("l_linenumber").agg(F.avg("l_quantity").alias("m"), (1 + F.stddev_pop("l_quantity")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return purity.coverage_comb(clusters, "m", "s", [1 + k / 4 for k in range(61)], purity=0.7, weight="n").select("k", F.round("score", 3).alias("score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.__main__ import main
 from strandline.functions import genome
-from strandline.operators import copy_ratio, coverage, intervals, scoring, snps
+from strandline.operators import copy_ratio, coverage, intervals, purity, scoring, snps
 from strandline.plans.sample import Inputs, Run, Settings
 from strandline.sources import readers
 from strandline.streaming import ingest
@@ -76,6 +76,11 @@ def test_run_recovers_the_planted_gain(spark, files, tmp_path):
     ratio = weigh(gain, sum(r.end_bp - r.start_bp for r in gain)) / weigh(rest, sum(r.end_bp - r.start_bp for r in rest))
     assert ratio == pytest.approx(1.5, abs=0.15)
     assert 0.9 < run.reference_bias() < 1.1
+    fit = run.optimal_fit().first()
+    assert 0 < fit.purity < 1 and fit.k > 0 and 0 <= fit.clonal <= fit.segments
+    # two thirds of the gain's reads are of one haplotype: a level of the purity found
+    seen = [(1 + fit.purity * (na - 1)) / (2 * (1 - fit.purity) + t * fit.purity) for na, t in purity.levels()]
+    assert min(abs(x - 2 / 3) for x in seen) < 0.03
     names, beta, _ = run.coverage_fit()
     assert dict(zip(names, beta))["C_RT_z"] == pytest.approx(0.1, abs=0.03)
     (tmp_path / "config.json").write_text(json.dumps({"inputs": inputs.__dict__, "settings": settings.__dict__}))
