@@ -245,7 +245,7 @@ def mean_std_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMB = """
 segments AS (SELECT l_suppkey, floor(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)) AS a, floor(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE l_quantity END)) AS b FROM lineitem GROUP BY 1),
 levels AS (SELECT na, tau FROM (SELECT unnest(generate_series(1, 7)) AS tau) t, (SELECT unnest(generate_series(1, 7)) AS na) n WHERE 2 * na >= tau AND na <= tau),
-grid AS (SELECT k / 201.0::DOUBLE AS purity FROM (SELECT unnest(generate_series(1, 200)) AS k)),
+grid AS (SELECT k / 10001.0::DOUBLE AS purity FROM (SELECT unnest(generate_series(1, 10000)) AS k)),
 fractions AS (SELECT purity, (1 + purity * (na - 1)) / (2 * (1 - purity) + tau * purity) AS x FROM grid, levels),
 best AS (SELECT l_suppkey, purity, max(a * ln(x) + b * ln(1 - x)) - any_value(lgamma(a + 1) + lgamma(b + 1) - lgamma(a + b + 2)) AS p FROM segments, fractions WHERE x > 0 AND x < 1 GROUP BY 1, 2)
 """
@@ -255,7 +255,7 @@ best AS (SELECT l_suppkey, purity, max(a * ln(x) + b * ln(1 - x)) - any_value(lg
 def purity_comb(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = F.col("l_returnflag") == "R"
     segments = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.floor(F.sum(F.when(flagged, F.col("l_quantity")).otherwise(0.0))).alias("a"), F.floor(F.sum(F.when(flagged, 0.0).otherwise(F.col("l_quantity")))).alias("b"))
-    comb = purity.purity_comb(segments, "a", "b", points=200)
+    comb = purity.purity_comb(segments, "a", "b")
     return comb.select(F.round("purity", 9).alias("purity"), F.round("score", 2).alias("score"))
 
 

@@ -89,7 +89,7 @@ def coverage_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.floor(micros("o_orderdate") / (86_400_000_000 * 30))
     bins = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("draw"), F.col("o_orderpriority").alias("segment"), day.alias("place")).agg(F.count(F.lit(1)).alias("x")).withColumn("base", F.lit(0.0))
-    return dirichlet.coverage_clusters(bins, ["draw"], "segment", "x", "base", sweeps=2)
+    return dirichlet.coverage_clusters(bins, ["draw"], "segment", "x", "base")
 
 
 @query()
@@ -186,7 +186,7 @@ def ssd_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pseudo_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _suppliers(spark, sf_dir).select("sample", "segment", F.lit(1).alias("allele"), F.log(F.col("sites") + 1.0).alias("mu"), F.lit(0.1).alias("sigma"), F.col("major").alias("own"), F.col("minor").alias("other"), F.col("sites").alias("bins"))
-    return copy_ratio.grey_segments(copy_ratio.pseudo_observations(rows, ["sample"], draws=500))
+    return copy_ratio.grey_segments(copy_ratio.pseudo_observations(rows, ["sample"]))
 
 
 @query()
