@@ -24,6 +24,12 @@ from strandline.operators.regression import LnpPrior, laplace_evidence, lnp_fit,
 
 EXHAUSTIVE = 150
 LEAST_SIDE = 2
+#: Kernel widths and least distances of peaks, by what the
+#: segment's length is beyond; the share of places below a peak; candidates
+#: beside the peaks, so far from both ends of segments up to a length.
+WIDTHS = ((50_000, (1000,)), (10_000, (500,)), (5000, (500, 100, 25)), (1000, (100, 50, 25)), (0, (50, 10)))
+SPACING = ((50_000, 10_000), (5000, 1000), (0, 50))
+PEAK_SHARE, RIM, RIMMED = 0.98, 10, 1000
 #: Places this much less likely than the best peak are not walked from or to;
 #: steps to a side, fewer in segments beyond a length.
 WALK_RANGE, WALK_STEPS, WALK_STEPS_LONG, WALK_LONG = 5.0, 15, 5, 25_000
@@ -42,11 +48,16 @@ def spaced_peaks(x: np.ndarray, least: float, distance: int) -> np.ndarray:
 
 
 def change_kernel(residual: np.ndarray, width: int) -> np.ndarray:
-    """|mean to the right - mean to the left| at each place between values."""
+    """|sum to the right - sum to the left| of ``width`` values at each place
+    between values, 0 where a side has fewer. Widths above 10 weigh places
+    by their distance from the middle, up to e at the rims."""
+    n = len(residual)
+    out, at = np.zeros(max(n - 1, 0)), np.arange(width, n - width + 1)
     c = np.concatenate([[0.0], np.cumsum(residual)])
-    at = np.arange(1, len(residual))
-    left, right = np.maximum(at - width, 0), np.minimum(at + width, len(residual))
-    return np.abs((c[right] - c[at]) / (right - at) - (c[at] - c[left]) / (at - left))
+    out[at - 1] = np.abs(c[at + width] - 2 * c[at] + c[at - width])
+    if width > 10:
+        out[at - 1] *= np.exp(2 * np.abs(np.arange(len(at)) - len(at) / 2) / max(len(at), 1))
+    return out
 
 
 class CoverageSegmentation:
@@ -71,10 +82,18 @@ class CoverageSegmentation:
         inside = np.arange(st + LEAST_SIDE, en - LEAST_SIDE + 1)
         if en - st < EXHAUSTIVE:
             return inside
-        residual = np.log(np.maximum(self.x[st:en], 0.5)) - self.base[st:en]
-        score = np.max([change_kernel(residual, w) for w in (5, 20, 50)], axis=0)
-        peaks = spaced_peaks(score, float(np.quantile(score, 0.98)), 3) + st + 1
-        return peaks[(peaks >= inside[0]) & (peaks <= inside[-1])]
+        n, residual = en - st, self.x[st:en] / np.exp(self.base[st:en])
+        distance = next(d for beyond, d in SPACING if n > beyond)
+        # kernels do not reach the rims of shorter segments
+        peaks = {st + RIM, en - RIM} if n <= RIMMED else set()
+        for width in next(w for beyond, w in WIDTHS if n > beyond):
+            if 2 * width < n:
+                score = change_kernel(residual, width)
+                least = float(np.quantile(score[width - 1 : n - width], PEAK_SHARE))
+                peaks.update((spaced_peaks(score, least, distance) + st + 1).tolist())
+        found = np.array(sorted(peaks), dtype=int)
+        found = found[(found >= inside[0]) & (found <= inside[-1])]
+        return found if len(found) else inside
 
     def scored(self, st: int, en: int) -> tuple[np.ndarray, np.ndarray]:
         """Places to split at and the evidence of each split."""

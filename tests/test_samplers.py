@@ -106,3 +106,25 @@ def test_merge_and_evidence():
         out = dirichlet.merged(out, p)
     assert out == pytest.approx(whole)
     assert dirichlet.count_prior(1.0, 3.0, 5.0, 1.0) > dirichlet.count_prior(1.0, None, 5.0, 1.0)
+
+
+def test_long_segments_split_at_planted_places():
+    rng = np.random.default_rng(5)
+    for n, places in ((600, (333,)), (1600, (500, 1100))):
+        level = np.repeat([60.0, 90.0, 50.0][: len(places) + 1], np.diff([0, *places, n]))
+        state = coverage_mcmc.CoverageSegmentation(rng.poisson(level), np.zeros(n))
+        found = state.candidates(0, n)
+        assert len(found) < n / 10
+        for place in places:
+            assert np.abs(found - place).min() <= coverage_mcmc.WALK_STEPS
+        best = max(state.run(120, 5, rng), key=lambda d: d[1])[0]
+        assert all(min(abs(b - place) for b in best) <= 3 for place in places)
+
+
+def test_narrow_and_wide_kernels():
+    x = np.random.default_rng(2).random(80)
+    plain = [abs(x[at : at + 12].sum() - x[at - 12 : at].sum()) for at in range(12, 69)]
+    weighed = [v * np.exp(2 * abs(k - len(plain) / 2) / len(plain)) for k, v in enumerate(plain)]
+    got = coverage_mcmc.change_kernel(x, 12)
+    assert len(got) == 79 and np.allclose(got[11:68], weighed) and not got[:11].any() and not got[68:].any()
+    assert np.allclose(coverage_mcmc.change_kernel(x, 10)[9], abs(x[10:20].sum() - x[:10].sum()))
