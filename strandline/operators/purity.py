@@ -41,7 +41,9 @@ def purity_comb(segments: DataFrame, major: str, minor: str, points: int = 10_00
     ``points`` purities strictly between 0 and 1. A level whose fraction is 0
     or 1 scores nothing. With ``weight``, segments count by it.
     """
-    grid = segments.withColumn("purity", F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k / F.lit(points + 1.0))))
+    # segments are few rows, which an earlier shuffle may have put together, and become many
+    spread = segments.repartition(segments.sparkSession.sparkContext.defaultParallelism)
+    grid = spread.withColumn("purity", F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k / F.lit(points + 1.0))))
     part = _best_density(F.col("purity"), F.col(major), F.col(minor), most) * (F.col(weight) if weight else F.lit(1.0))
     return grid.withColumn("__part", part).groupBy("purity").agg(F.sum("__part").alias("score"))
 
