@@ -13,10 +13,14 @@ speed, never a link, as any total order is right.
 1. Equal sets are one class; classes are named by a 128-bit digest of their
    set. N-grams are 64-bit hashes; two of them would have to collide within
    one pair of sets to change a similarity.
-2. Prefix n-grams meet: among the classes of one n-gram, in order of size,
-   neighbours within the length filter are tied. A tie is a candidate for a
-   link; what links is tied, over some neighbours. A very frequent n-gram is
-   salted, and the first class of each size of each salt ties the salts.
+2. Prefix n-grams meet: the classes of one n-gram are paired within the
+   length filter. A pair is tied unless the sketches of its sets, parities of
+   hashed n-grams in about a bit an n-gram, differ in more places than sets
+   that link can; a phrase that two documents share by chance, or a noisy
+   order, thus ties nothing. Of an n-gram of many classes neighbours in order
+   of size are tied unseen. A tie is a candidate for a link; what links is
+   tied, over some neighbours. A very frequent n-gram is salted, and the first
+   class of each size of each salt ties the salts.
 3. Tied classes form blocks (connected components). Links do not leave a
    block, so a block's texts come together and are joined there in memory by
    prefix, length, positional and suffix filters, in an order by the counts
@@ -64,6 +68,8 @@ SIEVE_BITS = 25
 PIECE_BYTES, PIVOTS = 4 << 20, 0.25
 #: Classes of an n-gram, by its counter, for each salt.
 SALT = 20_000
+#: Classes of an n-gram of which all pairs are looked at.
+PAIRED = 24
 
 
 def set_of(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -79,19 +85,42 @@ def tie_of(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the n-grams that fall on each of 64 bits or more, a power
+    of two of at least one an n-gram."""
+    bits = max(64, 1 << (max(len(shingles), 1) - 1).bit_length())
+    # high bits of a product, as n-grams of one prefix need not differ in their own
+    at = (shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits.bit_length() - 1))
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, by sketches;
+    the longer one is folded to the length of the other."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        # n-grams are placed by high bits: one bit of the shorter is a run of the longer
+        runs = np.unpackbits(a.view(np.uint8)).reshape(8 * b.nbytes, -1)
+        a = np.packbits(runs.sum(axis=1, dtype=np.int64).astype(np.uint8) & 1).view(np.uint64)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def classes(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
-    """Per document its keys, ``__n`` (size of its set), ``__class`` and
-    ``__tie``."""
+    """Per document its keys, ``__n`` (size of its set), ``__class``,
+    ``__tie`` and ``__sketch``."""
 
     def make():
         def of(data: bytes) -> tuple:
             s = set_of(data, width)
             name = class_of(s)
-            return len(s), name, tie_of(name)
+            return len(s), name, tie_of(name), sketch(s)
 
         return of
 
-    return map_texts(docs, keys, text, make, [("__n", pa.int64(), "bigint"), ("__class", pa.binary(), "binary"), ("__tie", pa.int64(), "bigint")])
+    return map_texts(docs, keys, text, make, [("__n", pa.int64(), "bigint"), ("__class", pa.binary(), "binary"), ("__tie", pa.int64(), "bigint"), ("__sketch", pa.binary(), "binary")])
 
 
 # -- the order of n-grams ----------------------------------------------------------
@@ -183,7 +212,75 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _ties(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> DataFrame:
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, m, n, sure) of rows (token, salt, name, n) that come together by
+    token and salt in order of n: all pairs within the length filter, and of
+    more than PAIRED classes, or salted ones, neighbours, as ``sure``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(token: np.ndarray, salt: np.ndarray, name: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            # a class comes once from each task that has it
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (name[1:] != name[:-1])])
+            token, salt, name, n = (x[new] for x in (token, salt, name, n))
+            start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
+            count = np.diff(np.append(start, len(token)))
+            group, count = np.repeat(np.arange(len(start)), count), np.repeat(count, count)
+            sure = (count > PAIRED) | (salt > 0)
+            left, right, by = [], [], np.arange(len(token))
+            for far in range(1, PAIRED):
+                by = by[by + far < len(token)]
+                if far == 2:
+                    by = by[~sure[by]]
+                by = by[(group[by] == group[by + far]) & (100 * n[by] >= percent * n[by + far])]
+                if not len(by):
+                    break
+                left.append(by)
+                right.append(by + far)
+            left, right = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
+            columns = [name[left], name[right], n[left], n[right], sure[left]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "m", "n", "sure"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            some = [x.astype(np.int64) for x in some]
+            if held is not None:
+                some = [np.concatenate(x) for x in zip(held, some)]
+            # the last group may go on in the next batch
+            goes_on = (some[0] == some[0][-1]) & (some[1] == some[1][-1])
+            last = len(goes_on) if goes_on.all() else len(goes_on) - int(np.argmin(goes_on[::-1]))
+            at = 0 if goes_on.all() else last
+            if at:
+                yield made(*[x[:at] for x in some])
+            held = [x[at:] for x in some]
+        if held is not None:
+            yield made(*held)
+
+    return rows.select("token", "salt", "name", "n").mapInArrow(tidy(run), "a bigint, b bigint, m bigint, n bigint, sure boolean")
+
+
+def _alike(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``pairs`` (a, b, m, n) whose sketches let them link."""
+    # two classes of one ``tie_of`` have no sketch and are not sifted
+    one = F.when(F.min("__class") == F.max("__class"), F.min("__sketch"))
+    sketches = stored(known.groupBy(F.col("__tie").alias("a")).agg(one.alias("x")), "jaccard-sketches")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, other, x, y = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for k, (m, n, one, two) in enumerate(zip(size, other, x, y)):
+                if one is not None and two is not None:
+                    keep[k] = differing(one, two) <= m + n - 2 * -(-percent * (m + n) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    both = pairs.join(sketches, "a", "left").join(sketches.toDF("b", "y"), "b", "left")
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint")
+
+
+def _ties(docs: DataFrame, known: DataFrame, text: str, width: int, percent: int, bits: int) -> DataFrame:
     """Candidate ties (a, b) between classes, by ``tie_of`` their names."""
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, width, bits))
 
@@ -208,15 +305,18 @@ def _ties(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> Da
 
     rows = docs.select(text).mapInArrow(tidy(run), "token bigint, salt int, name bigint, n int")
     before = Window.partitionBy("token", "salt").orderBy("n", "name")
-    near = rows.select("*", F.lag("name").over(before).alias("a"), F.lag("n").over(before).alias("m"))
+    near = rows.select("*", F.lag("name").over(before).alias("a"), F.lag("n").over(before).alias("m"), F.lead("n").over(before).alias("o"))
     # each size's first class of each salt, in one order over all salts; one
     # product, as a condition on the salt alone would make a second pass
     heads = near.filter(F.coalesce("salt", F.lit(0)) * F.when(F.col("m").isNull() | (F.col("m") < F.col("n")), 1).otherwise(0) > 0).select("token", "n", "name")
     across = Window.partitionBy("token").orderBy("n", "name")
     heads = heads.select("name", "n", F.lag("name").over(across).alias("a"), F.lag("n").over(across).alias("m"))
-    tied = near.select(*heads.columns).union(heads)
-    tied = tied.filter((F.col("a") != F.col("name")) & (100 * F.col("m").cast("long") >= percent * F.col("n").cast("long")))
-    return tied.select("a", F.col("name").alias("b")).distinct()
+    within = lambda m, n: F.coalesce(100 * F.col(m).cast("long") >= percent * F.col(n).cast("long"), F.lit(False))
+    heads = heads.filter((F.col("a") != F.col("name")) & within("m", "n"))
+    heads = heads.select("a", F.col("name").alias("b"), F.col("m").cast("long"), F.col("n").cast("long"), F.lit(True).alias("sure"))
+    pairs = _pairs(near.filter(within("m", "n") | within("n", "o")), percent).union(heads)
+    pairs = stored(pairs.groupBy("a", "b").agg(F.max("m").alias("m"), F.max("n").alias("n"), F.max("sure").alias("sure")), "jaccard-pairs")
+    return pairs.filter("sure").select("a", "b").union(_alike(pairs.filter("not sure").drop("sure"), known, percent))
 
 
 # -- the join inside a block ---------------------------------------------------------
@@ -464,7 +564,7 @@ def linked_classes(docs: DataFrame, known: DataFrame, text: str = "text", width:
 
     ``known``: ``classes`` of the documents.
     """
-    ties = components(_ties(docs, text, width, percent, counter_bits), "jaccard-ties")
+    ties = components(_ties(docs, known, text, width, percent, counter_bits), "jaccard-ties")
     blocks = ties.union(ties.select("root", "root").distinct()).toDF("__tie", "block")
     sizes = known.groupBy(F.col("__class").alias("name")).agg(F.max("__n").alias("n"), F.max("__tie").alias("__tie"))
     # a word is about seven bytes
