@@ -2,14 +2,18 @@
 
 A clonal segment with ``na`` copies of its major allele of ``tau`` in all
 has, at purity a, the minor allele fraction imbalance(a, na, tau). Segments
-are scored against the levels of each purity; the grid is exploded from a
-sequence, so segments never meet each other.
+are scored against the levels of each purity: sorted by their share of the
+major allele once in each task, as each level is the best of a run of shares.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from strandline.functions.special import betaln, normal_logpdf
 from strandline.operators.aggregates import best_row
 
 MOST_COPIES = 7
+#: Segments of a task that are sorted together.
+_HELD = 1_000_000
 
 
 def imbalance(purity: Column, major: Column, total: Column) -> Column:
@@ -41,11 +47,76 @@ def purity_comb(segments: DataFrame, major: str, minor: str, points: int = 10_00
     ``points`` purities strictly between 0 and 1. A level whose fraction is 0
     or 1 scores nothing. With ``weight``, segments count by it.
     """
-    # segments are few rows, which an earlier shuffle may have put together, and become many
-    spread = segments.repartition(segments.sparkSession.sparkContext.defaultParallelism)
-    grid = spread.withColumn("purity", F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k / F.lit(points + 1.0))))
-    part = _best_density(F.col("purity"), F.col(major), F.col(minor), most) * (F.col(weight) if weight else F.lit(1.0))
-    return grid.withColumn("__part", part).groupBy("purity").agg(F.sum("__part").alias("score"))
+    a, b = F.col(major).cast("double"), F.col(minor).cast("double")
+    counts = segments.select(a.alias("a"), b.alias("b"), betaln(a + 1, b + 1).alias("norm"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.arange(1, points + 1) / (points + 1.0)
+        score, rows, known, held, size = np.zeros(points), 0, 0, [], 0
+
+        def add() -> None:
+            nonlocal score, known, held, size
+            if held:
+                a, b, norm, w = np.concatenate(held, axis=1)
+                score += _scores(grid, a, b, norm, w, most)
+                known += size
+            held, size = [], 0
+
+        for batch in batches:
+            rows += batch.num_rows
+            some = pa.Table.from_batches([batch]).filter(pc.and_(pc.and_(batch.column(0).is_valid(), batch.column(1).is_valid()), batch.column(3).is_valid()))
+            held.append(np.array([c.to_numpy() for c in some.columns], dtype=float))
+            size += some.num_rows
+            if size >= _HELD:
+                add()
+        if size:
+            add()
+        if rows:
+            for at in range(0, points, 10_000):
+                part = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(grid[part]), pa.array(score[part]) if known else pa.nulls(len(grid[part]), pa.float64())], names=["purity", "part"])
+
+    return counts.mapInArrow(run, "purity double, part double").groupBy("purity").agg(F.sum("part").alias("score"))
+
+
+def _scores(grid: np.ndarray, a: np.ndarray, b: np.ndarray, norm: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
+    """For each purity the sum over segments, weighted, of their best level's
+    log density.
+
+    A segment's best level depends on a / (a + b) alone: between two levels
+    next to each other it changes at one share, which lies between them. So
+    segments are sorted by share once, and each level takes sums of a run.
+    """
+    plain = (a >= 0) & (b >= 0) & np.isfinite(a + b)
+    # more digits than a double, as what is left of sums without their norm is small, and a run's sum is a difference
+    odd, out = ~plain, np.zeros(len(grid), dtype=np.longdouble)
+    share = a[plain] / np.maximum(a[plain] + b[plain], 1e-300)
+    order = np.argsort(share, kind="stable")
+    share = share[order]
+    upto = [np.concatenate([[0], np.cumsum((w[plain] * x[plain])[order], dtype=np.longdouble)]) for x in (a, b)]
+    na, tau = np.array(levels(most), dtype=float).T
+    for at in range(0, len(grid), 4096):
+        p = grid[at : at + 4096, None]
+        x = np.sort((1 + p * (na - 1)) / (2 * (1 - p) + tau * p), axis=1)
+        inside = (x > 0) & (x < 1)
+        x = np.where(inside, x, 0.5)
+        one, two = np.log(x), np.log(1 - x)
+        if inside.all():
+            fall, rise = two[:, :-1] - two[:, 1:], one[:, 1:] - one[:, :-1]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cut = fall / (fall + rise)
+            cut = np.clip(np.where(np.isfinite(cut), cut, x[:, 1:]), x[:, :-1], x[:, 1:])
+            ends = np.full((len(p), len(na) + 1), len(share))
+            ends[:, 0], ends[:, 1:-1] = 0, np.searchsorted(share, cut)
+            total = sum((side * np.diff(u[ends], axis=1)).sum(axis=1) for side, u in ((one, upto[0]), (two, upto[1])))
+            out[at : at + 4096] += total
+            one_by_one = np.flatnonzero(odd)
+        else:
+            one_by_one = np.arange(len(a))
+        one, two = np.where(inside, one, -np.inf), np.where(inside, two, -np.inf)
+        for k in one_by_one:
+            out[at : at + 4096] += w[k] * (a[k] * one + b[k] * two).max(axis=1)
+    return (out - (w * norm).sum(dtype=np.longdouble)).astype(float)
 
 
 def _best_density(purity: Column, major: Column, minor: Column, most: int) -> Column:
