@@ -3,9 +3,10 @@
 import re
 
 import corpus_pipeline
-from strandline.llm import components
+from strandline.llm import components, jaccard_join
 from strandline.llm.shared import stored
 from tests.llm.samples import SCHEMA
+from tests.llm.test_jaccard_chance import ring
 
 
 def shingles(text):
@@ -43,3 +44,21 @@ def test_two_words_of_a_hundred_changed(spark, sf):
     far[20] = far[50] = far[80] = "another"
     rows = [(k, " ".join(w), "en", "s", 1) for k, w in enumerate((words, near, far))]
     assert kept(spark, spark.createDataFrame(rows, SCHEMA), sf) == brute(rows) == [0, 2]
+
+
+def test_stage_with_full_counters_ties_no_shared_phrases(spark, sf, monkeypatch):
+    """Counters so full that they tell nothing, as those of a large corpus."""
+    texts, sizes = ring(300), {}
+    rows = [(k, t[1], "en", "s", 1) for k, t in enumerate(texts)]
+    rows += [(1000 + k, rows[k][1] + " more", "en", "s", 1) for k in range(0, 300, 30)]
+    docs = stored(spark.createDataFrame(rows, SCHEMA), "near-in")
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count() if name == "jaccard-blocks" else None
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "rarity", lambda docs, text, width, bits, real=jaccard_join.rarity: real(docs, text, width, 6))
+    assert kept(spark, docs, sf) == brute(rows) == list(range(300))
+    assert sizes["jaccard-blocks"] < 60  # 116 where a shared phrase ties
