@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import bpe, decontamination, jaccard_join, pseudonyms, quality_rules
 from strandline.llm.registry import PSEUDONYM_KEY, read
-from strandline.llm.shared import stored
+from strandline.llm.shared import named_rows, stored
 
 #: Near-duplicates share four fifths of their runs of five words; the operator's
 #: defaults are those of the op10 query.
@@ -52,15 +52,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null ids count as the smallest, and of rows with equal ids one stays.
     Documents without words, null texts among them, all stay. Texts may have
     any length. An empty table stays empty. Columns of any name pass through.
-    Rows are numbered once, in a table that is written down.
+    Rows are named by their files and places there, without a copy of them.
     """
     rows = _aside(docs)
-    placed = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(38,0)") * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("row")
-    keyed = placed.select("row", order.cast("decimal(38,0)").alias("order"), "text")
-    groups = jaccard_join.grouped(keyed, ["row", "order"], key="order", width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    first = groups.filter((F.col("component_id") == F.col("order")) | (F.col("n_shingles") == 0)).select("row")
-    return placed.join(first.hint("shuffle_hash"), "row", "left_semi").select(*rows.columns).toDF(*docs.columns)
+    placed = named_rows(rows, **{c: F.col(c) for c in rows.columns})
+    order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "__file", "__row")
+    keyed = placed.select(order.alias("order"), "text")
+    groups = jaccard_join.grouped(keyed, ["order"], key="order", width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    first = groups.filter((F.col("component_id") == F.col("order")) | (F.col("n_shingles") == 0)).select("order.__file", "order.__row")
+    return placed.join(first.hint("shuffle_hash"), ["__file", "__row"], "left_semi").select(*rows.columns).toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

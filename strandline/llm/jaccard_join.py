@@ -200,7 +200,8 @@ def rarity(docs: DataFrame, text: str, width: int, bits: int = COUNTER_BITS, wor
 
     parts = docs.select(text).mapInArrow(tidy(count), "part int, counts binary").repartition("part")
     grams, words = np.zeros((slices, (1 << bits) // slices), dtype=np.uint8), np.zeros(1 << word_bits, dtype=np.uint8)
-    for row in parts.mapInArrow(tidy(total), "part int, counts binary").toLocalIterator():
+    # written down, so that the tasks' tables, some 5 MB each, leave the disk
+    for row in stored(parts.mapInArrow(tidy(total), "part int, counts binary"), "jaccard-counts").toLocalIterator():
         if row.part < slices:
             grams[row.part] = np.frombuffer(row.counts, dtype=np.uint8)
         else:

@@ -26,10 +26,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{whole}/strandline/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own removal of shuffle files at the end of a query.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends there."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """``df`` written to the shared folder and read back: lineage ends there.
+
+    The shuffle files of the write go with its end. Else they stay until the
+    driver happens to collect its garbage, which in a long run it seldom does,
+    and the disk has to hold the shuffles of all steps at once.
+    """
+    path, conf = folder(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.parquet(path)
 
 
@@ -38,7 +52,9 @@ def _scanned(docs: DataFrame) -> bool:
     node = docs._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
         node = node.children().head()
-    return node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
+    named = node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
+    # a column of that name hides the files' own
+    return named and "_metadata" not in [x.lower() for x in node.schema().fieldNames()]
 
 
 def named_rows(docs: DataFrame, **columns: Column) -> DataFrame:
