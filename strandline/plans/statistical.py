@@ -49,7 +49,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dp_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dirichlet.allelic_clusters(_suppliers(spark, sf_dir), ["sample"], "segment", "minor", "major", "sites", sweeps=4, draws=2)
+    return dirichlet.allelic_clusters(_suppliers(spark, sf_dir), ["sample"], "segment", "minor", "major", "sites")
 
 
 @query("""
