@@ -44,4 +44,4 @@ def test_query_runs_all_sweeps_and_draws(spark, sf, monkeypatch):
     assert asked == [{}]
     draws = rows.groupBy("sample", "draw").count().collect()
     samples = {r["sample"] for r in draws}
-    assert sorted((r["sample"], r["draw"]) for r in draws) == [(s, d) for s in sorted(samples) for d in range(10)]
+    assert sorted((r["sample"], r["draw"]) for r in draws) == [(s, d) for s in sorted(samples) for d in range(100)]
